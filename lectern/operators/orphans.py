@@ -20,8 +20,10 @@ an empty parent table every reference is 'missing'; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,22 +55,37 @@ def references(df: DataFrame, key: str, at: str, fields: tuple[str, ...], table:
     )
 
 
-def _surviving(bucket: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+def _surviving(asked: pa.StructArray, parents: pa.StructArray) -> pa.RecordBatch:
     """References AND-NOT parents of one key range: (name, month, known)."""
-    names = pd.Index(pd.unique(np.concatenate([refs["name"].to_numpy(object), bucket["name"].to_numpy(object)])))
-    r, p = names.get_indexer(refs["name"]), names.get_indexer(bucket["name"])
-    ever = Bitmap.of(p)
-    first, last = bucket["first_full"].to_numpy(), bucket["last_full"].to_numpy()
-    out = []
-    for m, at in pd.Series(r).groupby(refs["month"].to_numpy()):
-        referred = Bitmap.of(at.to_numpy())
+    of = lambda x, c: x.field(c).to_numpy(zero_copy_only=False)
+    both = pa.concat_arrays([asked.field("name"), parents.field("name")]).dictionary_encode()
+    code, month = both.indices.to_numpy(), of(asked, "month")
+    r, p = code[: len(asked)], code[len(asked) :]
+    ever, first, last = Bitmap.of(p), of(parents, "first_full"), of(parents, "last_full")
+    order = np.argsort(month, kind="stable")
+    months, starts = np.unique(month[order], return_index=True)
+    ids, at, unknown = [], [], []
+    for m, part in zip(months, np.split(order, starts[1:])):
         alive = Bitmap.of(p[(first <= m) & (m <= last)]) if m != NO_MONTH else Bitmap()
-        left = referred.and_not(alive)
-        ids = left.decode()
-        if len(ids):
-            unknown = np.isin(ids, left.and_not(ever).decode())
-            out.append(pd.DataFrame({"name": names[ids], "month": np.full(len(ids), m, dtype=np.int32), "known": ~unknown}))
-    return pd.concat(out) if out else pd.DataFrame({"name": pd.Series(dtype=object), "month": pd.Series(dtype=np.int32), "known": pd.Series(dtype=bool)})
+        left = Bitmap.of(r[part]).and_not(alive)
+        ids.append(left.decode())
+        at.append(np.full(len(ids[-1]), m, dtype=np.int32))
+        unknown.append(np.isin(ids[-1], left.and_not(ever).decode()))
+    ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+    return pa.RecordBatch.from_pydict(
+        {
+            "name": both.dictionary.take(pa.array(ids)),
+            "month": pa.array(np.concatenate(at) if at else [], pa.int32()),
+            "known": pa.array(~np.concatenate(unknown) if unknown else [], pa.bool_()),
+        }
+    )
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        asked, parents = batch.column("asked"), batch.column("parents")
+        for i in range(batch.num_rows):
+            yield _surviving(*(x.slice(i, 1).flatten() for x in (asked, parents)))
 
 
 def find_orphans(
@@ -98,14 +115,11 @@ def find_orphans(
         "name",
         F.coalesce(_month(F.col("a")) + F.when(whole, 0).otherwise(1), F.lit(NEVER_ENDS)).cast("int").alias("first_full"),
         F.coalesce(_month(F.col("d")) - 1, F.lit(NEVER_ENDS)).cast("int").alias("last_full"),
-    ).distinct()
-    asked = refs.select("name", "month").distinct()
-    left = (
-        pairs.withColumn("bucket", part)
-        .groupBy("bucket")
-        .cogroup(asked.withColumn("bucket", part).groupBy("bucket"))
-        .applyInPandas(lambda b, r: _surviving(b, r), "name string, month int, known boolean")
     )
+    # sets of distinct pairs are built before the shuffle as well as after it
+    asked = refs.groupBy(part.alias("bucket")).agg(F.collect_set(F.struct("name", "month")).alias("asked"))
+    pairs = pairs.groupBy(part.alias("bucket")).agg(F.collect_set(F.struct("name", "first_full", "last_full")).alias("parents"))
+    left = asked.join(pairs, "bucket", "left").select("asked", "parents").mapInArrow(_ranges, "name string, month int, known boolean")
 
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     spread = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
