@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import quality
+from lectern.sources.tables import table
+
+PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.file_statistics(table(spark, folder, "paragraphs", *PARAGRAPHS)).filter("text_kind <> 'prose'").select("doc_id", "text_kind")
+
+
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    stats = quality.file_statistics(table(spark, folder, "paragraphs", *PARAGRAPHS))
+    return quality.with_flags(stats, table(spark, folder, "chunks", "doc_id", "chunk_id", "quality_flags"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics}
 SQL: dict[str, str] = {}
