@@ -43,6 +43,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def unique_pairs(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each (group, hash) pair, and how often the pair occurs."""
+    key = mix(h + group.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    return order[first], np.diff(np.r_[first, len(key)])
+
+
 def _classes() -> np.ndarray:
     table = np.full(0x3000, _OTHER, dtype=np.uint8)
     for c in range(0x3000):
