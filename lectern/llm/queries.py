@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import quality
+from lectern.llm import quality, reading_level, subjects, topics
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -19,5 +19,36 @@ def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.with_flags(stats, table(spark, folder, "chunks", "doc_id", "chunk_id", "quality_flags"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics}
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    level = reading_level.fit(table(spark, folder, "graded_samples", "text", "grade_band"))
+    return reading_level.file_levels(table(spark, folder, "paragraphs", *PARAGRAPHS), level)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).filter("text_kind = 'prose' AND grade_band <> 'standard'").select("doc_id", "grade_band")
+
+
+def p4_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)
+
+
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.SubjectModel]:
+    areas = [r.subject for r in table(spark, folder, "subject_areas", "subject").distinct().orderBy("subject").collect()]
+    texts = table(spark, folder, "paragraphs", *PARAGRAPHS).filter("text IS NOT NULL AND trim(text) <> ''")
+    vocab = topics.vocabulary(texts)
+    encoded = topics.encode(texts, vocab, "doc_id", "para_index", "heading_level")
+    named = subjects.evidence(table(spark, folder, "content_analyses", "doc_id", "domain"), table(spark, folder, "subject_labels", "doc_id", "subject"), areas)
+    return encoded, subjects.fit(encoded, vocab, named, areas)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.file_subjects(*_subjects(spark, folder)).select("doc_id", "subject")
+
+
+def p5_topics(spark: SparkSession, folder: str) -> DataFrame:
+    _, model = _subjects(spark, folder)
+    return spark.createDataFrame(model.table(), "topic int, subject string, top_terms string")
+
+
+QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics}
 SQL: dict[str, str] = {}
