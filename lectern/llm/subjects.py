@@ -116,7 +116,7 @@ def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: lis
     lift = rate / rate.mean(1, keepdims=True) if v else rate
     df = vocab["df"].to_numpy(float)
     rnd = np.random.default_rng(seed)
-    seeded = np.where(lift > 1.5, lift, 0.05) * df[:, None]
+    seeded = np.where(lift > 0.3 * s, lift, 0.02) * df[:, None]
     free = rnd.gamma(1.0, 1.0, (v, EXTRA_TOPICS)) * (df * (lift.max(1) < 2.0) + 0.05)[:, None] if v else np.zeros((0, EXTRA_TOPICS))
     start = np.concatenate([seeded, free], 1).T + 0.05
     lam = topics.fit(encoded, start, rounds, alpha)
