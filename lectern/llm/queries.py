@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import quality, reading_level, subjects, topics
+from lectern.llm import quality, reading_level, scans, subjects, topics
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -50,5 +50,25 @@ def p5_topics(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(model.table(), "topic int, subject string, top_terms string")
 
 
-QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics}
+def _noise(spark: SparkSession, folder: str) -> DataFrame:
+    paras = table(spark, folder, "paragraphs", *PARAGRAPHS)
+    files = table(spark, folder, "source_files", "doc_id", "file_type", "page_count", "title")
+    return scans.find_noise(paras, files, scans.fit(paras, files))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _noise(spark, folder).select("doc_id", "para_index", "noise_kind").distinct()
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _noise(spark, folder)
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    paras = table(spark, folder, "paragraphs", *PARAGRAPHS)
+    files = table(spark, folder, "source_files", "doc_id", "file_type", "page_count", "title")
+    return scans.repaired_paragraphs(paras, files, scans.fit(paras, files))
+
+
+QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired}
 SQL: dict[str, str] = {}
