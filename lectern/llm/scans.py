@@ -277,11 +277,16 @@ class Reader:
                 full = start.endswith((".", ",")) and not re.search(r"\d\.?$", start)
                 if _nearest(k, known) in known or fresh and caps and not full:
                     starts.setdefault(_nearest(k, known), []).append((i, start))
-        for k, own in starts.items():
-            if len({i for i, _ in own}) >= 2 or k in repeated:
-                for i, start in own:
-                    if len(start) > len(prefix[i]):
-                        header[i], prefix[i] = True, start
+        fronts = {k for k, own in starts.items() if len({i for i, _ in own}) >= 2 or k in repeated}
+        for i in range(n) if fronts else ():
+            if level[i] or header[i] or pages[i] or not flat[i]:
+                continue
+            words = texts[i].split(None, 10)[:10]
+            for m in range(min(9, len(words) - 1), 1, -1):
+                start = " ".join(words[:m])
+                if _nearest(skeleton(start), fronts) in fronts:
+                    header[i], prefix[i] = True, start
+                    break
         if paged and any(header):
             # left and right pages may have headers of their own
             for i in range(n):
