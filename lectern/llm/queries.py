@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import quality, reading_level, scans, subjects, topics
+from lectern.llm import leaks, quality, reading_level, scans, subjects, topics
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -70,5 +71,20 @@ def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired_paragraphs(paras, files, scans.fit(paras, files))
 
 
-QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents", "doc_id", "text"), leaks.index_of(table(spark, folder, "eval_items")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaking documents per item and, with item_id null, per bench."""
+    items = table(spark, folder, "eval_items", "item_id", "bench").distinct()
+    per = _leaks(spark, folder).select("doc_id", "item_id").distinct().join(F.broadcast(items), "item_id")
+    return per.groupingSets([["bench", "item_id"], ["bench"]], "bench", "item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report}
 SQL: dict[str, str] = {}

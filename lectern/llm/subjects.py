@@ -35,7 +35,7 @@ NAMES = {
     "sport": "sport sports athletics athletic fitness coaching recreation training physical",
     "public_administration": "public administration government gov municipal civic civil council local sector",
 }
-EXTRA_TOPICS = 14
+EXTRA_TOPICS = 8
 TOP_TERMS = 40
 
 
@@ -75,7 +75,7 @@ class SubjectModel:
 
     def shares(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Per paragraph the expected number of words of each subject, and of no subject."""
-        gamma, _, _, _ = topics.expectation(ids, self.beta, self.alpha, 8)
+        gamma, _, _ = topics.expectation(ids, self.beta, self.alpha, 8)
         mass = np.maximum(gamma - self.alpha, 0)
         out = np.stack([mass[:, self.of_topic == s].sum(1) for s in range(len(self.subjects))], 1)
         return out, mass[:, self.of_topic < 0].sum(1)
@@ -107,7 +107,7 @@ def term_subjects(encoded: DataFrame, named: DataFrame, subjects: list[str], siz
     return out
 
 
-def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: list[str], rounds: int = 3, alpha: float = 0.1, seed: int = 11) -> SubjectModel:
+def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: list[str], rounds: int = 2, alpha: float = 0.1, seed: int = 11) -> SubjectModel:
     vocab = vocab[vocab["used"]]
     v, s = len(vocab), len(subjects)
     counts = term_subjects(encoded, named, subjects, v)

@@ -101,50 +101,42 @@ def encode(texts: DataFrame, vocab: pd.DataFrame, *keys: str) -> DataFrame:
 def _digamma(x: np.ndarray) -> np.ndarray:
     """By recurrence and the asymptotic series."""
     out = np.zeros_like(x)
-    x = x.copy()
-    for _ in range(6):
-        small = x < 6
-        if not small.any():
-            break
-        out[small] -= 1 / x[small]
-        x[small] += 1
+    for _ in range(3):
+        out -= 1 / x
+        x = x + 1
     r = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
 
 
-def expectation(ids: list[np.ndarray], beta: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Variational E step. beta: vocabulary x topics, exp E[log phi].
+def expectation(ids: list[np.ndarray], beta: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Variational E step. beta: vocabulary x topics, exp E[log phi], in single precision.
 
-    Returns gamma (documents x topics), and per distinct (document, term): the term,
-    its count, and its topic responsibilities.
+    Returns gamma (documents x topics), and of every word its number and its topic
+    responsibilities.
     """
     n, k = len(ids), beta.shape[1]
     lengths = np.fromiter((len(x) for x in ids), dtype=np.int64, count=n)
-    flat = np.concatenate(ids).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    flat = np.concatenate(ids) if n else np.zeros(0, dtype=np.int32)
     owner = np.repeat(np.arange(n), lengths)
-    pair, count = np.unique(owner * len(beta) + flat, return_counts=True)
-    doc, term = pair // len(beta), pair % len(beta)
-    b = beta[term]
-    first = np.searchsorted(doc, np.arange(n))
     some = lengths > 0
-    gamma = np.ones((n, k)) * (alpha + lengths[:, None] / k)
-    resp = b
-    for _ in range(rounds):
+    first = (np.cumsum(lengths) - lengths)[some]
+    b = resp = beta[flat]
+    gamma = np.full((n, k), alpha, dtype=np.float32) + (lengths[:, None] / k).astype(np.float32)
+    for _ in range(rounds if len(flat) else 0):
         theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None])
-        resp = b * theta[doc]
-        resp *= (count / np.maximum(resp.sum(1), 1e-300))[:, None]
-        gamma = np.full((n, k), alpha)
-        if some.any():
-            gamma[some] += np.add.reduceat(resp, first[some], axis=0)
-    return gamma, term, count, resp
+        resp = b * theta[owner]
+        resp /= np.maximum(resp.sum(1), 1e-30)[:, None]
+        gamma = np.full((n, k), alpha, dtype=np.float32)
+        gamma[some] += np.add.reduceat(resp, first, axis=0)
+    return gamma, flat, resp
 
 
 def expected_beta(lam: np.ndarray) -> np.ndarray:
     """lam: topics x vocabulary. exp E[log phi] as vocabulary x topics."""
-    return np.exp(_digamma(lam) - _digamma(lam.sum(1))[:, None]).T.copy()
+    return np.exp(_digamma(lam) - _digamma(lam.sum(1))[:, None]).T.astype(np.float32)
 
 
-def fit(encoded: DataFrame, start: np.ndarray, rounds: int = 4, alpha: float = 0.1, eta: float = 0.05, inner: int = 6) -> np.ndarray:
+def fit(encoded: DataFrame, start: np.ndarray, rounds: int = 2, alpha: float = 0.1, eta: float = 0.05, inner: int = 4) -> np.ndarray:
     """Topic weights (topics x vocabulary) after `rounds` passes of EM over all rows."""
     lam = start
     k, v = lam.shape
@@ -158,7 +150,7 @@ def fit(encoded: DataFrame, start: np.ndarray, rounds: int = 4, alpha: float = 0
             for d in batches:
                 ids = d["ids"].tolist()
                 for a in range(0, len(ids), 4096):
-                    _, term, _, resp = expectation(ids[a : a + 4096], beta, alpha, inner)
+                    _, term, resp = expectation(ids[a : a + 4096], beta, alpha, inner)
                     for j in range(k):
                         total[:, j] += np.bincount(term, resp[:, j], minlength=v)
             term, topic = np.nonzero(total > 1e-6)
