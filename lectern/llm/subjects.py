@@ -75,7 +75,7 @@ class SubjectModel:
 
     def shares(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Per paragraph the expected number of words of each subject, and of no subject."""
-        gamma, _, _ = topics.expectation(ids, self.beta, self.alpha, 8)
+        gamma, _, _ = topics.expectation(ids, self.beta, self.alpha, 6)
         mass = np.maximum(gamma - self.alpha, 0)
         out = np.stack([mass[:, self.of_topic == s].sum(1) for s in range(len(self.subjects))], 1)
         return out, mass[:, self.of_topic < 0].sum(1)
