@@ -100,8 +100,8 @@ class CharEditor:
         ed.weights = {k: v / max(now, 1) for k, v in total.items() if abs(v) > 1e-9}
         return ed
 
-    def readings(self, text: str, beam: int = 24) -> list[str]:
-        """What may have been printed, the best first."""
+    def readings(self, text: str, beam: int = 24, prefixes: frozenset[str] | None = None) -> list[str]:
+        """What may have been printed, the best first. prefixes: what it may begin with, if known."""
         hypotheses = [(0.0, "", KEEP)]
         for i, ch in enumerate(text):
             can = self.options.get(ch, [KEEP])
@@ -111,6 +111,8 @@ class CharEditor:
                 for op in can:
                     s = score + sum(self.weights.get((x, op), 0.0) for x in f)
                     o = out + ch if op == KEEP else out + op[1] if op[0] == "R" else out + op[1] + ch if op[0] == "I" else out
+                    if prefixes is not None and o not in prefixes:
+                        continue
                     key = (o, op[0])
                     if s > after.get(key, -1e18):
                         after[key] = s

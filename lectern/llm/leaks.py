@@ -23,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.vector_text import Codes, blocks
 
-Q, BAND, LEAST, WINDOW = 8, 48, 12, 130
+Q, BAND, LEAST, WINDOW = 8, 48, 16, 130
 WORDS, MATCHES = 12, 9
 MOST_ITEM_CHARS = 20_000_000
 _TAG = re.compile(r"<[^<>]{1,60}>")
@@ -55,13 +56,12 @@ def fold(word: str) -> str:
     return w.replace("i", "l").replace("c", "e").replace("h", "b")
 
 
+@lru_cache(1 << 17)
 def _close(a: str, b: str) -> bool:
     """Equal but for a character in five."""
-    if a == b:
-        return True
     la, lb = len(a), len(b)
     most = max(la, lb) // 5
-    if not most or abs(la - lb) > most:
+    if not most or abs(la - lb) > most or a[0] != b[0] and a[-2:] != b[-2:]:
         return False
     row = list(range(lb + 1))
     for i in range(1, la + 1):
@@ -74,11 +74,12 @@ def _close(a: str, b: str) -> bool:
 
 
 class Item:
-    __slots__ = ("item_id", "words", "folded", "named")
+    __slots__ = ("item_id", "words", "folded", "named", "names")
 
     def __init__(self, item_id: int, words: list[str], named: list[bool]):
         self.item_id, self.words, self.named = item_id, words, named
         self.folded = [fold(w) for w in words]
+        self.names = {f for f, n in zip(self.folded, named) if n}
 
 
 class LeakIndex:
@@ -153,20 +154,23 @@ class LeakIndex:
         half = BAND // 2
         found: dict[int, tuple[int, int, int, int]] = {}
         folded = [fold(w) for w in words]
-        have = set(folded)
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         key = np.concatenate([item * (1 << 24) + diagonal // half, item * (1 << 24) + diagonal // half - 1])
-        keys, counts = np.unique(key, return_counts=True)
-        for k, n in zip(keys, counts):
-            if n < LEAST:
-                continue
-            which, band = int(k >> 24), int(k & ((1 << 24) - 1))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        have, half_n = set(folded), len(pos)
+        for s in np.flatnonzero(np.diff(edge) >= LEAST):
+            which = int(key[edge[s]] >> 24)
             it = self.items[which]
-            if sum(f in have for f, x in zip(it.folded, it.named) if x) < 2:
+            if len(it.names & have) < 2:
                 continue
-            mine = (item == which) & (diagonal >= band * half) & (diagonal < (band + 2) * half)
+            mine = order[edge[s] : edge[s + 1]] % half_n
             p, q = pos[mine], self.place[idx[mine]]
             wi, wt = self.word_at[which][np.minimum(q, len(self.word_at[which]) - 1)], np.searchsorted(starts, p, side="right") - 1
+            near = set(folded[max(0, int(wt.min()) - 12) : int(wt.max()) + 13])
+            if len(near & it.names) < 2:
+                continue
             got = self._align(it, words, folded, wi, wt)
             if got and got > found.get(it.item_id, (0, 0, 0, 0)):
                 found[it.item_id] = got

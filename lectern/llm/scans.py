@@ -88,7 +88,7 @@ def _nearest(k: str, known: set[str]) -> str:
     if not k or k in known:
         return k
     for o in sorted(known):
-        if abs(len(o) - len(k)) <= 1 and SequenceMatcher(None, o, k, autojunk=False).ratio() >= 1 - 1 / 6:
+        if abs(len(o) - len(k)) <= 1 and (o[:3] == k[:3] or o[-3:] == k[-3:]) and SequenceMatcher(None, o, k, autojunk=False).ratio() >= 1 - 1 / 6:
             return o
     return k
 
@@ -101,6 +101,17 @@ class Reader:
         c = Codes(words or [""])
         self.known = np.sort(c.hashes(c.starts, c.ends - 1))
         self._read: dict[str, str | None] = {}
+        self._prefixes: frozenset[str] | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_read": {}, "_prefixes": None}
+
+    @property
+    def prefixes(self) -> frozenset[str]:
+        """All that words of the vocabulary begin with; made by each worker for itself."""
+        if self._prefixes is None:
+            self._prefixes = frozenset(w[:i] for w in self.vocabulary for i in range(len(w) + 1))
+        return self._prefixes
 
     def word(self, w: str) -> bool:
         """Whether w is made of words only."""
@@ -116,9 +127,8 @@ class Reader:
             letters = sum(c.isalpha() for c in w)
             found = None
             if 3 <= len(w) <= 40 and letters * 2 >= len(w) and not self.word(w):
-                for r in self.editor.readings(w):
-                    r = r.strip("-'’")
-                    if r != w and len(r) >= 3 and self.word(r) and not re.search(r"[^a-zà-ÿ'’.-]", r):
+                for r in self.editor.readings(w, prefixes=self.prefixes):
+                    if r != w and len(r) >= 3 and r in self.vocabulary:
                         found = r
                         break
             self._read[w] = found
@@ -378,6 +388,8 @@ def repaired_paragraphs(paragraphs: DataFrame, files: DataFrame, reader: Reader)
             doc, index, level, title = d["doc_id"].tolist(), d["para_index"].tolist(), d["level"].tolist(), d["title"].tolist()
             cuts = np.flatnonzero(np.r_[True, np.diff(d["g"].to_numpy()) != 0, True])
             for a, b in zip(cuts[:-1], cuts[1:]):
+                if not _maybe_scanned(texts[a:b], strange[a:b]):
+                    continue
                 own = reader.file(index[a:b], level[a:b], texts[a:b], strange[a:b], title[a])
                 if is_scanned(own):
                     rows += [(doc[a], *x) for x in repair(index[a:b], level[a:b], texts[a:b], own)]
@@ -424,12 +436,19 @@ def _files(d: pd.DataFrame, reader: Reader) -> Iterator[tuple[tuple, tuple]]:
     doc, index, level, title = d["doc_id"].tolist(), d["para_index"].tolist(), d["level"].tolist(), d["title"].tolist()
     cuts = np.flatnonzero(np.r_[True, np.diff(d["g"].to_numpy()) != 0, True])
     for a, b in zip(cuts[:-1], cuts[1:]):
+        if not _maybe_scanned(texts[a:b], strange[a:b]):
+            continue
         own = reader.file(index[a:b], level[a:b], texts[a:b], strange[a:b], title[a])
         if is_scanned(own):
             for x in own:
                 yield (doc[a], index[a + x[0]]), x
 
 
+def _maybe_scanned(texts: list[str], strange: np.ndarray) -> bool:
+    """Whether a closer look may find the file scanned: see is_scanned()."""
+    return bool(strange.any()) or sum(len(t) < 90 and any(c.isdigit() or c in "lIixv" for c in t) and bool(PAGE.match(t.strip()) or _LEAD.match(t.strip()) or _TAIL.match(t.strip())) for t in texts) >= 2
+
+
 def is_scanned(found: list[tuple[int, str, str, str | None]]) -> bool:
     kinds = Counter(k for _, k, _, _ in found)
     headers = {i for i, k, _, _ in found if k == "running_header"}
