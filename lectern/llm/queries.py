@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leaks, quality, reading_level, scans, subjects, topics
+from lectern.llm import leaks, quality, reading_level, residue, scans, subjects, topics
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -86,5 +86,24 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return per.groupingSets([["bench", "item_id"], ["bench"]], "bench", "item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report}
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "title", "source")
+    rows = residue.labelled(docs)
+    return residue.find_residue(docs, residue.fit(rows) if rows["label"].nunique() > 1 else None)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).select("doc_id").distinct()
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).groupBy("doc_id", "kind").agg(F.count("*").alias("n_segments"), F.max("p").alias("p"), F.min("segment").alias("example"))
+
+
+def p9_validation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = residue.labelled(table(spark, folder, "documents", "text", "title", "source"))
+    return spark.createDataFrame(residue.validate(rows), "kind string, n_segments int, precision double, recall double")
+
+
+QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report, "p9_validation": p9_validation}
 SQL: dict[str, str] = {}

@@ -156,16 +156,16 @@ class LinearModel:
                 idx = np.repeat(first[rows] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
                 f, local = feat[idx], np.repeat(np.arange(len(rows)), counts)
                 scale = 1 / np.sqrt(np.maximum(counts, 1))
-                z = np.zeros((len(rows), classes))
-                np.add.at(z, local, w[f])
+                wf = w[f]
+                z = np.stack([np.bincount(local, wf[:, k], minlength=len(rows)) for k in range(classes)], 1)
                 z = z * scale[:, None] + b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(rows)), label[rows]] -= 1
                 g = p * weight[rows][:, None] / len(rows)
                 uniq, inv = np.unique(f, return_inverse=True)
-                d = np.zeros((len(uniq), classes))
-                np.add.at(d, inv, g[local] * scale[local][:, None])
+                each = g[local] * scale[local][:, None]
+                d = np.stack([np.bincount(inv, each[:, k], minlength=len(uniq)) for k in range(classes)], 1)
                 d += l2 * w[uniq]
                 gw[uniq] += (d**2).sum(1)
                 w[uniq] -= rate * d / np.sqrt(gw[uniq])[:, None]
