@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leaks, quality, reading_level, residue, scans, subjects, topics
+from lectern.llm import leaks, mixing, quality, reading_level, residue, scans, splitting, subjects, topics
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -105,5 +105,44 @@ def p9_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(residue.validate(rows), "kind string, n_segments int, precision double, recall double")
 
 
-QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report, "p9_validation": p9_validation}
-SQL: dict[str, str] = {}
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks", "chunk_id", "heading_path", "text")
+    paras = table(spark, folder, "paragraphs", "doc_id", "para_index", "text")
+    items = splitting.oversized(chunks, "chunk", F.col("chunk_id"), F.col("heading_path")).unionByName(
+        splitting.oversized(paras, "paragraph", F.concat_ws(":", "doc_id", "para_index"))
+    )
+    return splitting.split_pieces(items)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).select("item_kind", "item_key").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
+def _mix(spark: SparkSession, folder: str):
+    tokens = mixing.count_tokens(table(spark, folder, "documents", "doc_id", "source", "text"))
+    planned = mixing.plan(tokens, table(spark, folder, "source_targets"))
+    return mixing.choose(tokens, planned), planned
+
+
+def p8_chosen(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, folder))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p8_chosen": p8_chosen, "p8_shares": p8_shares,
+    "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report, "p9_validation": p9_validation}
+SQL: dict[str, str] = {
+    "p2_found": """
+        SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_key FROM chunks WHERE length(trim(text, E' \\t\\r\\n')) > 1400
+        UNION ALL
+        SELECT DISTINCT 'paragraph', doc_id || ':' || para_index FROM paragraphs WHERE length(trim(text, E' \\t\\r\\n')) > 1400
+    """,
+}
