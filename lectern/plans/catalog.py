@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.plans import orphan_queries
+from lectern.plans import orphan_queries, scoring_queries
 
-FLAGSHIP = "p1_report"
-_MODULES = (orphan_queries,)
+FLAGSHIP = "scorecards"
+_MODULES = (orphan_queries, scoring_queries)
 
 
 def queries() -> dict:
