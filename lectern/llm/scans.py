@@ -48,6 +48,7 @@ _END = re.compile(r"([^\W\d_][^\s¬\xad-]*)[-¬\xad]\s*$")
 _START = re.compile(r"^\s*([^\W_][^\s.,;:!?()\"]*)")
 _CHUNK = re.compile(r"[^\s¬\xad\"“”()\[\],;:?]+")
 _RUN = re.compile(r"[^\W\d_]+")
+_EDGE = ".!'’*_`-–—"
 #: A sign inside or beside the letters of a word that words don't hold.
 _ODD = re.compile(r"[^\W_][0-9@†|!][^\W_]|[^\W\d_][0-9@†|]|[0-9@†|!][^\W\d_]{2}")
 
@@ -135,7 +136,7 @@ class Reader:
         return self._read[w]
 
     def misread(self, chunk: str) -> str | None:
-        core = chunk.strip(".!'’*_`-–—")
+        core = chunk.strip(_EDGE)
         if not core or core.isdigit() or not any(c.isalpha() for c in core):
             return None
         strange = any(c.isdigit() or c in "@†|!" for c in core)
@@ -227,7 +228,7 @@ class Reader:
             clean = clean[head:] if head and not (spans and min(spans)[0] < head) else clean
             for m in _CHUNK.finditer(clean):
                 if r := self.misread(m.group(0)):
-                    found.append((i, "misread", m.group(0), r))
+                    found.append((i, "misread", m.group(0).strip(_EDGE), r))
         found += self._odd_headers(flat, header, prefix)
         return found
 
