@@ -114,3 +114,38 @@ def apply_fixes(paras: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def file_name(reply: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(reply)), r"\s+", "-"), "[^a-z0-9-]", "")
+
+
+def heading_prompts(paras: DataFrame, vague: Column, bodies: int = 3) -> DataFrame:
+    """(doc_id, index, prompt) for headings where `vague` holds, with the first paragraphs below them."""
+    from pyspark.sql import Window as W
+
+    ahead = W.partitionBy("doc_id").orderBy("index").rowsBetween(1, bodies)
+    below = F.array_join(F.transform(F.filter(F.collect_list(F.struct("level", "text")).over(ahead), lambda x: x.level == 0), lambda x: x.text), "\n\n")
+    d = paras.withColumn("below", below).filter((F.col("level") > 0) & vague)
+    return d.select("doc_id", "index", F.concat(F.lit("Give this section a heading that says what it is about; answer with the heading only.\nHeading: "), "text", F.lit("\nSection:\n"), "below").alias("prompt"))
+
+
+def heading_of(reply: Column) -> Column:
+    return F.regexp_replace(F.trim(reply), r"^#+\s*", "")
+
+
+def long_paragraph_prompts(paras: DataFrame, most_words: int = 300) -> DataFrame:
+    d = paras.filter((F.col("level") == 0) & (F.col("n_words") > most_words))
+    return d.select("doc_id", "index", F.concat(F.lit("Split this paragraph into shorter ones, with a blank line between them, changing nothing else:\n\n"), "text").alias("prompt"))
+
+
+def define_acronyms(paras: DataFrame, meanings: DataFrame) -> DataFrame:
+    """Puts 'ABC (Meaning)' for the first ABC of a file. meanings: doc_id, acronym, meaning; unknown ones are skipped."""
+    known = meanings.filter("meaning IS NOT NULL AND upper(trim(meaning)) <> 'UNKNOWN'")
+    hit = paras.join(known, "doc_id").filter(F.expr(r"text rlike concat('\\b', acronym, '\\b')"))
+    first = hit.groupBy("doc_id", "acronym", "meaning").agg(F.min("index").alias("index"))
+    # few acronyms a paragraph; they are put in by turn
+    fixes = first.groupBy("doc_id", "index").agg(F.array_sort(F.collect_list(F.struct("acronym", "meaning"))).alias("fixes"))
+
+    def step(t: Column, x: Column) -> Column:
+        before = F.call_function("substring_index", t, x.acronym, F.lit(1))
+        rest = F.substring(t, F.length(before) + F.length(x.acronym) + 1, F.length(t))
+        return F.concat(before, x.acronym, F.lit(" ("), x.meaning, F.lit(")"), rest)
+
+    return paras.join(fixes, ["doc_id", "index"], "left").withColumn("text", F.coalesce(F.aggregate("fixes", F.col("text"), step), F.col("text"))).drop("fixes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.text import BLANK
-from lectern.operators import criteria, graph, manifest
+from lectern.operators import criteria, graph, manifest, resolve
 from lectern.plans.scoring_queries import CRIT, GATE, counts_of, docs_of
 from lectern.sources.tables import table
 
@@ -31,6 +31,12 @@ def unresolved_names(spark, folder):
     return graph.unresolved(_edges(spark, folder))
 
 
+def fuzzy_resolution(spark, folder):
+    """Names that no entity has, with the entity nearest by character n-grams."""
+    got = resolve.resolve(graph.unresolved(_edges(spark, folder)), graph.merged_entities(_entities(spark, folder)))
+    return got.withColumn("cosine", F.round("cosine", 6))
+
+
 def cross_document_references(spark, folder):
     return graph.cross_document_references(graph.mentions(_entities(spark, folder)))
 
@@ -99,7 +105,7 @@ def criteria_changes(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        entities_merged, edges_resolved, unresolved_names, cross_document_references, graph_summary, shared_entity_similarity, entity_pagerank, entity_communities, knowledge_scorecards,
+        entities_merged, edges_resolved, unresolved_names, fuzzy_resolution, cross_document_references, graph_summary, shared_entity_similarity, entity_pagerank, entity_communities, knowledge_scorecards,
         manifest_documents, manifest_corpus, criteria_changes,
     )
 }
