@@ -42,6 +42,21 @@ def test_related_and_blend(spark):
     assert {(r.x, r.y): round(r.value, 6) for r in graph.blend(s([(1, 2, 1.0)]), s([(1, 2, 0.5), (1, 3, 1.0)])).collect()} == {(1, 2): 0.85, (1, 3): 0.3}
 
 
+def test_shared_entity_similarity_has_no_cap(spark):
+    # one entity in 60 files, one in 2; the blocks must not lose or double a pair
+    held = [(i, "hot") for i in range(60)] + [(0, "rare"), (1, "rare"), (2, "own")]
+    df = {k: sum(x == k for _, x in held) for k in ("hot", "rare", "own")}
+    idf = {k: np.log(101 / (n + 1)) for k, n in df.items()}
+    vec = {i: {k: idf[k] for f, k in held if f == i} for i in range(60)}
+    size = {i: sum(v * v for v in x.values()) ** 0.5 for i, x in vec.items()}
+    want = {(a, b): sum(v * vec[b].get(k, 0) for k, v in vec[a].items()) / size[a] / size[b] for a in range(60) for b in range(a + 1, 60)}
+    ment = spark.createDataFrame(held, "file long, key string")
+    for more in ({}, {"block": 7}):
+        got = [((r.file_a, r.file_b), r.cosine) for r in graph.shared_entity_similarity(ment, 100, **more).collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    assert {r.cosine for r in graph.shared_entity_similarity(ment.filter("key = 'hot'"), 60).collect()} == {0.0}
+
+
 def test_spectral():
     a = np.full((6, 6), 0.01)
     a[:3, :3] = a[3:, 3:] = 0.9
