@@ -12,9 +12,10 @@ hashes all q-grams of a block of texts in numpy and keeps texts that hold enough
 of any item close together; only those are counted by item and aligned.
 
 Defined results: null and blank texts and items hold nothing; lines that several items
-share are instructions and are left out of the index; where items share a wording, the
-one whose names, places and numbers agree counts; all items with equal agreement count;
-copies of a document count each; twins once.
+share are instructions and are left out of the index; where another item fits the same
+stretch by nearly as many words other than names, places and numbers, the one whose names,
+places and numbers agree counts, and none if none agrees; else the words alone decide; all
+items with equal agreement count; copies of a document count each; twins once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,7 @@ from lectern.llm.vector_text import Codes, blocks
 
 Q, BAND, LEAST, WINDOW = 8, 48, 16, 130
 WORDS, MATCHES = 12, 9
+NEAR = 0.75
 MOST_ITEM_CHARS = 20_000_000
 _TAG = re.compile(r"<[^<>]{1,60}>")
 _JOIN = re.compile(r"(?<=[^\W\d_])(?:-|¬|\xad)[ \t]*\r?\n[>\s]*(?=[a-zß-ÿ0-9@†])|[\xad¬]\s*|(?<=[a-z])- (?=[a-z])")
@@ -73,14 +76,80 @@ def _close(a: str, b: str) -> bool:
     return row[lb] <= most
 
 
+@lru_cache(1 << 17)
+def _signs(word: str) -> int:
+    """Its characters as a set of bits: words k edits apart differ in 2 k bits at most."""
+    return sum({1 << (ord(c) & 63) for c in word})
+
+
+class _Words:
+    """Folded words with a code, their signs and lengths as arrays."""
+
+    __slots__ = ("folded", "code", "signs", "length")
+
+    def __init__(self, folded: list[str]):
+        self.folded = folded
+        self.code = np.array([hash(w) for w in folded], dtype=np.int64)
+        self.signs = np.array([_signs(w) for w in folded], dtype=np.uint64)
+        self.length = np.array([len(w) for w in folded], dtype=np.int64)
+
+
+class Fit(NamedTuple):
+    """Alignment of an item with words first to last of a text. clear: long and like enough to be a leak."""
+
+    item_id: int
+    agree: int
+    clash: int
+    matches: int
+    first: int
+    last: int
+    clear: bool
+
+    @property
+    def named(self) -> bool:
+        return self.agree >= 2 and (not self.clash or self.clash == 1 and self.agree >= 3)
+
+
+def decided(fits: set[Fit]) -> dict[int, Fit]:
+    """item_id -> the best of the fits that are leaks."""
+
+    def over(a: Fit, b: Fit) -> bool:
+        return b.item_id != a.item_id and min(a.last, b.last) - max(a.first, b.first) > 0.5 * (a.last - a.first)
+
+    found: dict[int, Fit] = {}
+    for x in fits:
+        if not x.clear:
+            continue
+        rivals = [o for o in fits if over(x, o) and o.matches - o.agree >= NEAR * (x.matches - x.agree)]
+        # a single name decides if nothing speaks against it and no rival has one
+        if rivals and not x.named and (x.agree != 1 or x.clash or any(o.agree for o in rivals)):
+            continue
+        if x.item_id not in found or (x.agree, x.matches) > (found[x.item_id].agree, found[x.item_id].matches):
+            # another item may own the same stretch by more of its names
+            if not any(o.clear and o.named and (o.agree, o.matches) > (x.agree, x.matches) and over(x, o) for o in fits):
+                found[x.item_id] = x
+    return found
+
+
 class Item:
-    __slots__ = ("item_id", "words", "folded", "named", "names")
+    __slots__ = ("item_id", "words", "folded", "named", "names", "_coded")
 
     def __init__(self, item_id: int, words: list[str], named: list[bool]):
         self.item_id, self.words, self.named = item_id, words, named
         self.folded = [fold(w) for w in words]
+        self._coded: _Words | None = None
         self.names = {f for f, n in zip(self.folded, named) if n}
 
+    @property
+    def coded(self) -> _Words:
+        """Made where it is used, since another process hashes strings otherwise."""
+        if self._coded is None:
+            self._coded = _Words(self.folded)
+        return self._coded
+
+    def __getstate__(self):
+        return None, {k: getattr(self, k) for k in self.__slots__} | {"_coded": None}
+
 
 class LeakIndex:
     """q-gram index of passages and questions."""
@@ -145,60 +214,90 @@ class LeakIndex:
                 if len(own) >= LEAST:
                     yield a + int(t), own, i[s:e][own]
 
-    def leaks(self, words: list[str], at: np.ndarray, gram: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """item_id -> (agreeing names, words matched, first and last word of the text)."""
+    def leaks(self, words: list[str], at: np.ndarray, gram: np.ndarray) -> set[Fit]:
+        """All fits of items, clear ones and others."""
         many = self.count[gram]
         pos = np.repeat(at, many)
         idx = np.repeat(self.first[gram] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
         item, diagonal = self.owner[idx], pos - self.place[idx] + (1 << 20)
         half = BAND // 2
-        found: dict[int, tuple[int, int, int, int]] = {}
+        found: set[Fit] = set()
         folded = [fold(w) for w in words]
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         key = np.concatenate([item * (1 << 24) + diagonal // half, item * (1 << 24) + diagonal // half - 1])
         order = np.argsort(key, kind="stable")
         key = key[order]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        have, half_n = set(folded), len(pos)
+        half_n = len(pos)
+        text, late, seen = _Words(folded), [], set()
+        # what speaks against a name of an item
+        other = [f in self.names or bool(_NUMBERS.match(w.lower())) or w[:1].isupper() and not w.isupper() for w, f in zip(words, folded)]
         for s in np.flatnonzero(np.diff(edge) >= LEAST):
             which = int(key[edge[s]] >> 24)
             it = self.items[which]
-            if len(it.names & have) < 2:
-                continue
             mine = order[edge[s] : edge[s + 1]] % half_n
             p, q = pos[mine], self.place[idx[mine]]
             wi, wt = self.word_at[which][np.minimum(q, len(self.word_at[which]) - 1)], np.searchsorted(starts, p, side="right") - 1
-            near = set(folded[max(0, int(wt.min()) - 12) : int(wt.max()) + 13])
-            if len(near & it.names) < 2:
+            # the words near the diagonals of the hits
+            shift = wt - wi
+            low, high = int(shift.min()) - 4, int(shift.max()) + 4
+            i0, i1 = max(0, int(wi.min()) - 12), min(len(it.words), int(wi.max()) + 13)
+            if (which, i0, i1, low, high) in seen:
                 continue
-            got = self._align(it, words, folded, wi, wt)
-            if got and got > found.get(it.item_id, (0, 0, 0, 0)):
-                found[it.item_id] = got
+            seen.add((which, i0, i1, low, high))
+            same = self._same(it, text, i0, i1, low, high)
+            have = np.r_[0, np.cumsum([bool(r) for r in same])]
+            have = have[None, :] - have[:, None]
+            length = np.arange(len(have))[None, :] - np.arange(len(have))[:, None]
+            if ((have >= MATCHES) & (have >= 0.7 * length)).any():
+                if got := self._align(it, other, same, i0, low, high):
+                    found.add(got)
+            else:
+                late.append((it, same, i0, low, high))
+        # what can't be a leak may still share the wording of one
+        clear = [x for x in found if x.clear]
+        for it, same, i0, low, high in late:
+            if any(i0 + low <= x.last and i0 + len(same) + high >= x.first for x in clear) and (got := self._align(it, other, same, i0, low, high)):
+                found.add(got)
         return found
 
-    def _align(self, it: Item, words: list[str], folded: list[str], wi: np.ndarray, wt: np.ndarray) -> tuple[int, int, int, int] | None:
-        """Best local alignment of words near the diagonals of the hits."""
-        shift = wt - wi
-        low, high = int(shift.min()) - 4, int(shift.max()) + 4
-        i0, i1 = max(0, int(wi.min()) - 12), min(len(it.words), int(wi.max()) + 13)
+    def _same(self, it: Item, text: _Words, i0: int, i1: int, low: int, high: int) -> list[set[int]]:
+        """For each word of the item, the words of the text in the band that are the same or close."""
+        i, j = np.arange(i0, i1)[:, None], np.arange(i0, i1)[:, None] + np.arange(low, high + 1)[None, :]
+        inside = (j >= 0) & (j < len(text.folded))
+        j = np.clip(j, 0, len(text.folded) - 1)
+        equal = inside & (it.coded.code[i] == text.code[j])
+        most = np.maximum(it.coded.length[i], text.length[j]) // 5
+        like = inside & ~equal & (most > 0) & (np.bitwise_count(it.coded.signs[i] ^ text.signs[j]) <= 2 * most)
+        out: list[set[int]] = [set() for _ in range(i0, i1)]
+        for a, x in np.argwhere(equal).tolist():
+            out[a].add(i0 + a + low + x)
+        for a, x in np.argwhere(like).tolist():
+            if _close(it.folded[i0 + a], text.folded[i0 + a + low + x]):
+                out[a].add(i0 + a + low + x)
+        return out
+
+    def _align(self, it: Item, other: list[bool], same: list[set[int]], i0: int, low: int, high: int) -> Fit | None:
+        """Best local alignment in the band."""
         width = high - low + 1
         # a cell: score, start in item, start in text, matches, agreeing names, disagreeing names
         none = (0, -1, -1, 0, 0, 0)
         prev, best = [none] * (width + 1), none
         best_end = (0, 0)
-        for i in range(i0, i1):
+        for i, row in enumerate(same, i0):
             cur = [none] * (width + 1)
-            f, named = it.folded[i], it.named[i]
+            named = it.named[i]
+            # other cells can't have a score
+            live = {j - i - low for j in row} | {y for x in range(width) if prev[x][0] > 3 for y in (x - 1, x)}
             for x in range(width):
                 j = i + low + x
-                if j < 0 or j >= len(words):
+                if x not in live and not (x and cur[x - 1][0] > 3) or j < 0 or j >= len(other):
                     continue
-                same = f == folded[j] or _close(f, folded[j])
                 d = prev[x]
-                if same:
+                if j in row:
                     cell = (d[0] + 2, d[1] if d[0] > 0 else i, d[2] if d[0] > 0 else j, d[3] + 1 if d[0] > 0 else 1, (d[4] if d[0] > 0 else 0) + named, d[5] if d[0] > 0 else 0)
                 else:
-                    clash = named and (folded[j] in self.names or bool(_NUMBERS.match(words[j].lower())) or words[j][:1].isupper() and not words[j].isupper())
+                    clash = named and other[j]
                     cell = (d[0] - 3, d[1], d[2], d[3], d[4], d[5] + clash)
                 up = prev[x + 1]
                 if up[0] - 3 > cell[0]:
@@ -212,9 +311,11 @@ class LeakIndex:
             prev = cur
         score, si, sj, matches, agree, clash = best
         span = max(best_end[0] - si, best_end[1] - sj) + 1
-        if score <= 0 or span < WORDS or matches < max(MATCHES, 0.7 * span) or agree < 2 or clash > 1 or clash and agree < 3:
+        if score <= 0:
             return None
-        return agree, matches, sj, best_end[1]
+        fit = Fit(it.item_id, agree, clash, matches, sj, best_end[1], span >= WORDS and matches >= max(MATCHES, 0.7 * span))
+        # without agreeing names the words alone must keep the edit budget
+        return fit if fit.named else fit._replace(clear=fit.clear and matches >= span - round(span / 6))
 
 
 def find_leaks(documents: DataFrame, index: LeakIndex) -> DataFrame:
@@ -226,12 +327,8 @@ def find_leaks(documents: DataFrame, index: LeakIndex) -> DataFrame:
             rows, ids = [], d["doc_id"].tolist()
             words = [plain_words(t) for t in d["text"]]
             for t, at, gram in index.candidates([" ".join(w).lower() for w in words]):
-                found = index.leaks(words[t], at, gram)
-                for item, (agree, matches, a, b) in found.items():
-                    # another item may own the same stretch by more of its names
-                    better = any(o != item and x[:2] > (agree, matches) and min(b, x[3]) - max(a, x[2]) > 0.5 * (b - a) for o, x in found.items())
-                    if not better:
-                        rows.append((ids[t], item, matches, agree))
+                for item, x in decided(index.leaks(words[t], at, gram)).items():
+                    rows.append((ids[t], item, x.matches, x.agree))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_words", "named_words"])
 
     return documents.filter("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, matched_words int, named_words int")

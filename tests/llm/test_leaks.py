@@ -34,6 +34,20 @@ def test_names_decide(spark, index):
     assert found(spark, index, [P2]) == {(0, 2)}
 
 
+def test_names_are_asked_for_only_between_rivals(spark):
+    own = "Long after dusk the keeper Orla Fentonson would carry wet lanterns along the narrow quay and count every lantern twice before the tide came back to Lindow"
+    index = LeakIndex([*ITEMS, (5, own, None)])
+    texts = [
+        "He wrote that they carry wet lanterns along the narrow quay and count every lantern twice before going.",
+        own.replace("Orla Fentonson", "Ivo Garsonson").replace("Lindow", "Selby"),
+        own.replace("Orla Fentonson", "0r1a Fentomsom").replace("Lindow", "Limdow"),
+        "It lay near the sunken barn at Lindow because of a long strike in the north.",
+        "It lay near the sunken barn at Selby because of a long strike in the north.",
+        "None of them would carry dry lanterns over the broad bridge or count a single lamp before the frost.",
+    ]
+    assert found(spark, index, texts) == {(0, 5), (1, 5), (2, 5), (3, 1)}
+
+
 def test_empty(spark, index):
     assert found(spark, LeakIndex([]), [P1]) == set()
     df = spark.createDataFrame([], "doc_id long, text string")
