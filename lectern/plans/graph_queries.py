@@ -51,11 +51,11 @@ def shared_entity_similarity(spark, folder):
 
 
 def entity_pagerank(spark, folder):
-    return graph.pagerank(_edges(spark, folder), rounds=10).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(_edges(spark, folder)).withColumn("rank", F.round("rank", 9))
 
 
 def entity_communities(spark, folder):
-    return graph.communities(_edges(spark, folder), 5)
+    return graph.communities(_edges(spark, folder))
 
 
 def knowledge_scorecards(spark, folder):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lectern.operators import assist, criteria, graph, manifest
+from lectern.plans import graph_queries
 
 E = "src string, dst string, rel_type string"
 
@@ -19,6 +20,29 @@ def test_communities_and_modularity(spark):
     assert graph.modularity(edges, label) == pytest.approx(6 / 7 - 0.5)
 
 
+def test_communities_settle(spark):
+    # neighbours that move at once would swap labels for ever
+    pair = spark.createDataFrame([("a", "b", "r"), ("b", "a", "r")], E)
+    assert [r.community for r in graph.communities(pair).collect()] == ["a", "a"]
+    with pytest.raises(RuntimeError):
+        graph.communities(pair, rounds=1)
+
+
+def test_registered_ranks_are_finished(spark, tmp_path):
+    n = 30
+    rel = [(i, 1, f"n{i:02}", f"n{i + 1:02}", "r") for i in range(n - 1)]
+    spark.createDataFrame(rel, "rel_id long, doc_id long, source string, target string, rel_type string").write.parquet(str(tmp_path / "relationships.parquet"))
+    spark.createDataFrame([], "entity_id long, name string, entity_type string, source_file string, doc_id long, description string").write.parquet(str(tmp_path / "entities.parquet"))
+    got = {r.key[-2:]: r["rank"] for r in graph_queries.entity_pagerank(spark, str(tmp_path)).collect()}
+    m = np.full((n, n), 0.15 / n)
+    m[:, n - 1] = 1 / n
+    m[np.arange(1, n), np.arange(n - 1)] += 0.85
+    want = np.linalg.matrix_power(m, 500) @ np.full(n, 1 / n)
+    assert [got[f"{i:02}"] for i in range(n)] == pytest.approx(want, abs=1e-4)
+    with pytest.raises(RuntimeError):
+        graph.pagerank(spark.createDataFrame([(s, t, r) for _, _, s, t, r in rel], E), rounds=10)
+
+
 def test_bridges(spark):
     got = [(r.key, r.betweenness) for r in graph.bridges(spark.createDataFrame([("a", "b", ""), ("b", "c", "")], E)).collect()]
     assert got == [("b", 0.5)]
