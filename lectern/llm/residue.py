@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ BITS = 18
 MOST_EACH = 4_000
 LEAST = 0.5
 LONG = 300
+MOST = 2000
 
 #: Words of the customary dummy text.
 DUMMY = set(
@@ -78,6 +80,19 @@ NEAR = 9
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
+def pieces(sentence: str) -> list[str]:
+    """A sentence of more than MOST characters as runs of words of about LONG characters that overlap by half."""
+    if len(sentence) <= MOST:
+        return [sentence]
+    out, start = [], 0
+    while start + LONG < len(sentence):
+        end = sentence.rfind(" ", start + LONG * 3 // 4, start + LONG + 1)
+        out.append(sentence[start : end if end > 0 else start + LONG].strip())
+        mid = sentence.find(" ", start + LONG // 2, start + LONG * 3 // 4)
+        start = mid + 1 if mid > 0 else start + LONG // 2
+    return [x for x in (*out, sentence[start:].strip()) if x]
+
+
 def segments(text: str) -> list[tuple[str, int]]:
     """(segment without quotations and code, place: 0 first, 1 within, 2 last)."""
     out, code = [], False
@@ -89,7 +104,7 @@ def segments(text: str) -> list[tuple[str, int]]:
         if code or not line:
             continue
         line = _QUOTED.sub(" qquote ", line)
-        out += [line] if len(line) <= LONG else [x for x in _SENTENCE.split(line) if x]
+        out += [line] if len(line) <= LONG else [y for x in _SENTENCE.split(line) if x for y in pieces(x)]
     last = len(out) - 1
     return [(s, 0 if i == 0 else 2 if i == last else 1) for i, s in enumerate(out)]
 
@@ -121,8 +136,8 @@ def shaped(segment: str, place: int, title: str | None) -> str:
     words = re.findall(r"[a-zà-ÿ]+", segment.lower())
     if words:
         extra.append(f"zdummy{'abcd'[min(3, 4 * sum(w in DUMMY for w in words) // len(words))]}")
-        extra.append(f"zsame{'abcd'[min(3, 4 * max(map(words.count, set(words[:30]))) // len(words))]}")
-    return f"{segment.lower()[:2000]} {' '.join(extra)}"
+        extra.append(f"zsame{'abcd'[min(3, 4 * max(Counter(words).values()) // len(words))]}")
+    return f"{segment.lower()} {' '.join(extra)}"
 
 
 def _features(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:

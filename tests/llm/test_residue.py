@@ -51,3 +51,15 @@ def test_edges(spark, model):
 def test_segments():
     assert residue.segments("a `{x}` b\n```\n${Y}\n```\n\"q\" z") == [("a  qquote  b", 0), (" qquote  z", 2)]
     assert residue.weak_label("%title% is due") and not residue.weak_label("10 % of 20 %")
+
+
+def test_long_lines_are_read_whole():
+    from lectern.llm.residue import segments, shaped, weak_label
+
+    plain = "the keeper carries wet lanterns along the narrow quay and counts them twice, "
+    line = plain * 40 + "please enable javascript in your browser, " + plain * 40
+    parts = [s for s, _ in segments(line)]
+    assert all(len(s) <= 300 for s in parts) and sum("please enable javascript in your browser" in s for s in parts) >= 1
+    assert sum(weak_label(s) > 0 for s in parts) < 5 and {w for s in parts for w in s.split()} >= set(line.split())
+    assert "javascript" in shaped("x " * 1200 + "javascript", 1, None)
+    assert [s for s, _ in segments("y" * 2500)][-1].endswith("y") and sum(len(s) for s, _ in segments("y" * 2500)) >= 2500
