@@ -101,8 +101,8 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = residue.labelled(table(spark, folder, "documents", "text", "title", "source"))
-    return spark.createDataFrame(residue.validate(rows), "kind string, n_segments int, precision double, recall double")
+    rows = residue.labelled(table(spark, folder, "documents", "doc_id", "text", "title", "source"))
+    return spark.createDataFrame(residue.validate(rows), "held_out string, kind string, n_segments int, precision double, recall double")
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
