@@ -4,13 +4,15 @@ Plan. Paragraphs are shuffled once, by file and run of RUN paragraphs, so that e
 file holding a third of all rows is spread; twins fall there. Each partition is then
 read in order, one whole run after the other, in Arrow batches; words, lines and word
 pairs of many runs at a time are counted in numpy. Only sums leave the workers, and are
-added up per file.
+added up per file. Of files with several runs the hashes of lines, paragraphs and word
+pairs leave as well, counted per run, and are added up per file and hash, so that
+repetition is that of the whole file whatever its length.
 
 Defined results: only heading_level 0 counts (null counts as body); null and blank
 texts add nothing; a file without any body text has no row; twins count once; other
 columns are ignored; texts are measured whole. A paragraph wrapped at the margin is one
-line. Duplicate shares and the dominant word pair are taken within runs of RUN
-paragraphs and weighted by their size. Equal lines are told by 64-bit hashes.
+line. A line that stands OFTEN times or more in a file is boilerplate: it counts for no
+kind. Equal lines are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from lectern.llm.vector_text import _DIGIT, _LETTER, _SPACE, Codes, blocks, mix, unique_pairs
 
 RUN = 5_000
+#: So often a line stands in a file that it is boilerplate; MOSTLY of the text says that it all is.
+OFTEN, MOSTLY = 3, 0.6
 #: The commonest short words of English running text.
 COMMON = (
     "the a an of to in on at by and or but so if when then that which while we you they i it is are was were can do does "
@@ -120,15 +124,16 @@ class Lines:
         plain = full & (self.common * 8 >= self.n_words) & (self.n_words >= 3) & (self.letters * 2 > self.dense) & (hard * 4 < self.n_words)
         unclear = ~plain[self.owner]
         owner, words = self.owner[unclear], self.words[unclear]
-        distinct = np.bincount(owner[unique_pairs(owner, words)[0]], minlength=n)
+        # one or two words over and over
+        self.monotonous = ~plain & (self.n_words >= 6) & (np.bincount(owner[unique_pairs(owner, words)[0]], minlength=n) <= 2)
         for i in np.flatnonzero(~plain):
-            self.kind[i] = _kind(lines[i], int(self.n_words[i]), int(distinct[i]), int(self.letters[i]), int(self.dense[i]), int(self.symbols[i]), int(hard[i]), int(clause[i]), int(self.common[i]), bool(full[i]))
+            self.kind[i] = _kind(lines[i], int(self.n_words[i]), int(self.letters[i]), int(self.dense[i]), int(self.symbols[i]), int(hard[i]), int(clause[i]), int(self.common[i]), bool(full[i]))
 
 
-def _kind(line: str, n: int, distinct: int, letters: int, dense: int, symbols: int, hard: int, clause: int, common: int, full: bool) -> int:
+def _kind(line: str, n: int, letters: int, dense: int, symbols: int, hard: int, clause: int, common: int, full: bool) -> int:
     if _FURNITURE.match(line) or _CODE.match(line):
         return OTHER
-    if n >= 6 and distinct <= 2 or _HEX.match(line) or _BASE64.match(line):
+    if _HEX.match(line) or _BASE64.match(line):
         return JUNK
     if sum(len(x) for x in _GARBLED.findall(line)) * 8 >= len(line):
         return JUNK
@@ -186,8 +191,10 @@ def _numbered(d: pd.DataFrame) -> pd.DataFrame:
 
 SUMS = (
     "paragraphs", "repeated_paragraphs", "lines", "repeated_lines", "chars", "words", "word_chars", "symbols", "ending", "common",
-    "top_pair_chars", *(f"{k}_chars" for k in KINDS),
+    "top_pair_chars", "boilerplate_chars", *(f"{k}_chars" for k in KINDS),
 )
+#: What is counted over the whole of a file with several runs.
+OVER_RUNS = ("repeated_paragraphs", "repeated_lines", "top_pair_chars", "boilerplate_chars", *(f"{k}_chars" for k in KINDS))
 
 
 def _repeated(g: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -195,46 +202,109 @@ def _repeated(g: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(g, minlength=n) - np.bincount(g[unique_pairs(g, h)[0]], minlength=n)
 
 
+class _Runs:
+    """Measures of the runs of a batch: lines with their run, kind and hash, paragraphs, word pairs."""
+
+    def __init__(self, d: pd.DataFrame):
+        self.group = d["g"].to_numpy()
+        self.n = int(d["g"].max()) + 1
+        texts = d["text"].tolist()
+        none = np.zeros(0, dtype=np.uint64)
+        c = [none]
+        for a, b in blocks(texts):
+            x = Codes(texts[a:b])
+            c.append(x.hashes(x.starts, x.ends - 1))
+        self.paragraphs = np.concatenate(c)
+        lines, owner = [], []
+        for t, g in zip(texts, self.group):
+            own = lines_of(t)
+            lines += own
+            owner += [g] * len(own)
+        self.owner = np.array(owner, dtype=np.int64)
+        self.sums = {k: np.zeros(self.n, dtype=np.int64) for k in ("chars", "words", "word_chars", "symbols", "ending", "common")}
+        hashes, chars, kinds, pairs = [none], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int8)], []
+        for a, b in blocks(lines):
+            x, g = Lines(lines[a:b]), self.owner[a:b]
+            hashes.append(x.hash)
+            chars.append(x.chars)
+            kinds.append(x.kind)
+            for name, w in (("chars", x.chars), ("words", x.n_words), ("word_chars", x.word_chars), ("symbols", x.symbols), ("ending", x.ending), ("common", x.common)):
+                self.sums[name] += np.bincount(g, w, minlength=self.n).astype(np.int64)
+            if len(x.pair):
+                first, count = unique_pairs(g[x.pair_owner], x.pair)
+                pairs.append(pd.DataFrame({"g": g[x.pair_owner][first], "h": x.pair[first], "l": x.pair_chars[first], "n": count}))
+        self.hash, self.chars, self.kind = np.concatenate(hashes), np.concatenate(chars), np.concatenate(kinds)
+        p = pd.concat(pairs) if pairs else pd.DataFrame({"g": [], "h": none, "l": [], "n": []}).astype({"g": np.int64, "l": np.int64, "n": np.int64})
+        self.pairs = p.groupby(["g", "h", "l"], as_index=False, sort=False)["n"].sum() if len(pairs) > 1 else p
+
+
 def run_sums(d: pd.DataFrame) -> pd.DataFrame:
     """One row of sums for each run of the batch."""
-    n = int(d["g"].max()) + 1
-    out = {c: np.zeros(n, dtype=np.int64) for c in SUMS}
-    group = d["g"].to_numpy()
-    out["paragraphs"] += np.bincount(group, minlength=n)
-    texts = d["text"].tolist()
-    c = [np.zeros(0, dtype=np.uint64)]
-    for a, b in blocks(texts):
-        x = Codes(texts[a:b])
-        c.append(x.hashes(x.starts, x.ends - 1))
-    out["repeated_paragraphs"] += _repeated(group, np.concatenate(c), n)
-    lines, owner = [], []
-    for t, g in zip(texts, group):
-        own = lines_of(t)
-        lines += own
-        owner += [g] * len(own)
-    owner = np.array(owner, dtype=np.int64)
-    hashes, pairs = [np.zeros(0, dtype=np.uint64)], []
-    for a, b in blocks(lines):
-        x, g = Lines(lines[a:b]), owner[a:b]
-        hashes.append(x.hash)
-        add = lambda name, w, g=g: out.__setitem__(name, out[name] + np.bincount(g, w, minlength=n).astype(np.int64))
-        add("lines", np.ones(b - a))
-        for name, w in (("chars", x.chars), ("words", x.n_words), ("word_chars", x.word_chars), ("symbols", x.symbols), ("ending", x.ending), ("common", x.common)):
-            add(name, w)
-        for k, name in enumerate(KINDS):
-            add(f"{name}_chars", np.where(x.kind == k, x.chars, 0))
-        if len(x.pair):
-            first, count = unique_pairs(g[x.pair_owner], x.pair)
-            pairs.append(pd.DataFrame({"g": g[x.pair_owner][first], "h": x.pair[first], "l": x.pair_chars[first], "n": count}))
-    out["repeated_lines"] += _repeated(owner, np.concatenate(hashes), n)
-    if pairs:
-        p = pd.concat(pairs)
-        if len(pairs) > 1:
-            p = p.groupby(["g", "h", "l"], as_index=False, sort=False)["n"].sum()
-        p = p[p["n"] > 1]
-        np.maximum.at(out["top_pair_chars"], p["g"].to_numpy(), (p["n"] * p["l"]).to_numpy())
+    r = _Runs(d)
+    n = r.n
+    out = {c: np.zeros(n, dtype=np.int64) for c in SUMS} | r.sums
+    out["paragraphs"] = np.bincount(r.group, minlength=n)
+    out["lines"] = np.bincount(r.owner, minlength=n)
+    out["repeated_paragraphs"] = _repeated(r.group, r.paragraphs, n)
+    out["repeated_lines"] = _repeated(r.owner, r.hash, n)
+    often = np.zeros(len(r.hash), dtype=bool)
+    if out["repeated_lines"].any():
+        _, back, count = np.unique(mix(r.hash + r.owner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_inverse=True, return_counts=True)
+        often = count[back] >= OFTEN
+    add = lambda own: np.bincount(r.owner[own], r.chars[own], minlength=n).astype(np.int64)
+    out["boilerplate_chars"] = add(often)
+    for k, name in enumerate(KINDS):
+        out[f"{name}_chars"] = add((r.kind == k) & ~often)
+    p = r.pairs[r.pairs["n"] > 1]
+    np.maximum.at(out["top_pair_chars"], p["g"].to_numpy(), (p["n"] * p["l"]).to_numpy())
     first = d.drop_duplicates("g")
-    return pd.DataFrame({"doc_id": first["doc_id"].to_numpy(), **out})
+    return pd.DataFrame({"doc_id": first["doc_id"].to_numpy(), **{c: out[c] for c in SUMS}})
+
+
+PARAGRAPH, LINE, PAIR = range(3)
+
+
+def run_hashes(d: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, what, h, kind, size, n): how often each run holds a paragraph, line or pair of words."""
+    r = _Runs(d)
+    doc = d.drop_duplicates("g")["doc_id"].to_numpy()
+
+    def counted(what: int, g: np.ndarray, h: np.ndarray, kind, size) -> pd.DataFrame:
+        first, n = unique_pairs(g, h)
+        return pd.DataFrame({"doc_id": doc[g[first]], "what": what, "h": h[first].view(np.int64), "kind": kind[first], "size": size[first], "n": n})
+
+    zero = np.zeros(len(r.group), dtype=np.int64)
+    pairs = r.pairs
+    return pd.concat([
+        counted(PARAGRAPH, r.group, r.paragraphs, zero, zero), counted(LINE, r.owner, r.hash, r.kind.astype(np.int64), r.chars),
+        pd.DataFrame({"doc_id": doc[pairs["g"].to_numpy()], "what": PAIR, "h": pairs["h"].to_numpy().astype(np.uint64).view(np.int64), "kind": 0, "size": pairs["l"].to_numpy(), "n": pairs["n"].to_numpy()}),
+    ])
+
+
+def long_files(paragraphs: DataFrame, least: int, key: str = "doc_id") -> DataFrame | None:
+    """Files with a paragraph of number `least` or more, None if there is none."""
+    found = paragraphs.filter(F.col("para_index") >= least).select(key).filter(F.col(key).isNotNull())
+    return None if found.isEmpty() else found.distinct()
+
+
+def _over_runs(paragraphs: DataFrame, long: DataFrame, key: str) -> DataFrame:
+    """(doc_id, OVER_RUNS) of the files with several runs."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in whole_runs(batches):
+            yield run_hashes(d)
+
+    kind = paragraphs.schema[key].dataType.simpleString()
+    hashes = body(paragraphs.join(long, key, "left_semi"), key).mapInPandas(measure, f"doc_id {kind}, what int, h long, kind int, size long, n long")
+    total = hashes.groupBy("doc_id", "what", "h").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.max("kind").alias("kind"))
+    line, n = F.col("what") == LINE, F.col("n")
+    part = lambda on, value: F.coalesce(F.sum(F.when(on, value)), F.lit(0))
+    return total.groupBy("doc_id").agg(
+        part(F.col("what") == PARAGRAPH, n - 1).alias("repeated_paragraphs"), part(line, n - 1).alias("repeated_lines"),
+        F.coalesce(F.max(F.when((F.col("what") == PAIR) & (n > 1), n * F.col("size"))), F.lit(0)).alias("top_pair_chars"),
+        part(line & (n >= OFTEN), n * F.col("size")).alias("boilerplate_chars"),
+        *[part(line & (n < OFTEN) & (F.col("kind") == k), n * F.col("size")).alias(f"{name}_chars") for k, name in enumerate(KINDS)],
+    )
 
 
 def file_statistics(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -247,6 +317,9 @@ def file_statistics(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     kind = paragraphs.schema[key].dataType.simpleString()
     runs = body(paragraphs, key).mapInPandas(measure, f"doc_id {kind}, {', '.join(f'{c} long' for c in SUMS)}")
     total = runs.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in SUMS])
+    if (long := long_files(paragraphs, RUN, key)) is not None:
+        over = _over_runs(paragraphs, long, key).select("doc_id", *[F.col(c).alias(f"{c}_over") for c in OVER_RUNS])
+        total = total.join(over, "doc_id", "left").withColumns({c: F.coalesce(f"{c}_over", c) for c in OVER_RUNS}).select("doc_id", *SUMS)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     stats = total.filter("lines > 0").select(
         "doc_id", "paragraphs", "lines", F.col("words").alias("word_count"), "chars",
@@ -257,6 +330,7 @@ def file_statistics(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
         share("repeated_lines", "lines").alias("repeated_line_share"),
         share("repeated_paragraphs", "paragraphs").alias("repeated_paragraph_share"),
         F.least(share("top_pair_chars", "word_chars"), F.lit(1.0)).alias("top_pair_share"),
+        share("boilerplate_chars", "chars").alias("boilerplate_share"),
         *[f"{k}_chars" for k in ("prose", "list", "table", "junk")],
     )
     return stats.withColumn("text_kind", verdict())
@@ -277,9 +351,10 @@ def kind_by_size() -> Column:
 
 
 def verdict() -> Column:
-    """By size, but one pair of words over and over is junk."""
-    over = (F.col("top_pair_share") > 0.3) & (F.col("word_count") > 20) & (F.col("repeated_line_share") < 0.5)
-    return F.when(over, "junk").otherwise(kind_by_size())
+    """By the size of what isn't boilerplate; a text that mostly repeats lines, paragraphs or one pair of words is junk."""
+    pair = (F.col("top_pair_share") > 0.3) & (F.col("word_count") > 20) & (F.col("repeated_line_share") < 0.5)
+    again = ((F.col("boilerplate_share") > MOSTLY) | (F.col("repeated_paragraph_share") > MOSTLY)) & (F.col("word_count") > 20)
+    return F.when(pair | again, "junk").otherwise(kind_by_size())
 
 
 #: What the spellings of quality flags say about the kind of text.

@@ -4,7 +4,7 @@ A multinomial logistic model with an L2 penalty gives every sentence a level, fr
 hashed words, character trigrams and the shape of the sentence. It is fitted on the
 sentences of the graded passages (at most MOST_SAMPLES of them, the only bound). A
 file's mean sentence distribution is calibrated to a band by a second model, fitted on
-the passages' own distributions.
+the passages' own distributions as models see them that were fitted on the others.
 
 Plan. Fitting is on the driver, over the bounded passages. The model (2**16 weights a
 class) is shipped with the task closure. Paragraphs are scored in Arrow batches and
@@ -32,6 +32,8 @@ from lectern.llm.vector_text import LinearModel, blocks, hashed_features
 BANDS = ("basic", "standard", "advanced")
 BITS = 16
 MOST_SAMPLES = 5_000
+#: Folds of the graded passages for the calibration.
+FOLDS = 5
 _JOINT = re.compile(r"[,;]| and | but | so ")
 _LETTERS = "abcdefghijklmnop"
 
@@ -62,7 +64,15 @@ class ReadingLevel:
                 shaped.append(_shaped(s))
         owner, bands = np.array(owner), np.array(bands)
         model = LinearModel.fit(*_features(shaped), bands[owner], 1 << BITS, len(BANDS), l2=l2, epochs=epochs)
-        p = model.scores(*_features(shaped), len(shaped))
+        # calibrated on sentences of texts that the model which judges them has not seen
+        p, fold = np.zeros((len(shaped), len(BANDS))), owner % FOLDS
+        for k in range(FOLDS):
+            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(rest) and len(own):
+                other = LinearModel.fit(*_features([shaped[i] for i in rest]), bands[owner[rest]], 1 << BITS, len(BANDS), l2=l2, epochs=epochs)
+                p[own] = other.scores(*_features([shaped[i] for i in own]), len(own))
+            elif len(own):
+                p[own] = model.scores(*_features([shaped[i] for i in own]), len(own))
         n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         x = np.stack([np.bincount(owner, p[:, k], minlength=len(texts)) / n for k in range(len(BANDS))] + [np.ones(len(texts))], 1)
         w, y = np.zeros((x.shape[1], len(BANDS))), np.eye(len(BANDS))[bands]
@@ -114,7 +124,7 @@ def run_levels(d: pd.DataFrame, level: ReadingLevel) -> pd.DataFrame:
     kinds, hashes, size = [], [], []
     for a, b in blocks(lines):
         x = quality.Lines(lines[a:b])
-        kinds.append(x.kind)
+        kinds.append(np.where(x.monotonous, quality.JUNK, x.kind))
         hashes.append(x.hash)
         size.append(x.chars)
     kind, size, h = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (kinds, size, hashes))

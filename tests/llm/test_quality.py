@@ -51,3 +51,19 @@ def test_flags(spark):
     chunks = spark.createDataFrame([(1, "a", ["List-like"]), (1, "a", ["List-like"]), (1, "b", ["list_like", None])], "doc_id long, chunk_id string, quality_flags array<string>")
     got = {r.doc_id: r for r in quality.with_flags(stats, chunks).collect()}
     assert got[1].flags_agree and got[1].n_chunks == 2 and got[2].flags_agree is None
+
+
+def test_repetition_over_runs(spark):
+    """The same paragraphs in one run and in several give the same figures."""
+    texts = [f"Line {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} of the notes is kept here." for k in range(100)] * 2
+    rows = [(1, n, 0, t, "") for n, t in enumerate(texts)] + [(2, n + (quality.RUN if n >= 100 else 0), 0, t, "") for n, t in enumerate(texts)]
+    a, b = sorted(quality.file_statistics(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.doc_id)
+    assert a.repeated_line_share == 0.5 and a.repeated_paragraph_share == 0.5
+    assert a[1:] == b[1:]
+
+
+def test_boilerplate_counts_for_no_kind(spark):
+    head = "The quarterly handbook of the Porto office is kept here by the staff."
+    rows = [x for k, e in enumerate("red blue old green tall small dry wet new plain brown large".split()) for x in ([f"- {e.title()} boxes from Porto"] + [head] * (k % 4 == 0))]
+    r = kinds(spark, {1: rows, 2: [head] * 9})
+    assert r[1].text_kind == "list" and 0.3 < r[1].boilerplate_share < quality.MOSTLY and r[2].text_kind == "junk"
