@@ -14,6 +14,7 @@ CONFUSIONS = [
 ]
 BREAKS = ("-\n", "¬\n", "\xad\n")
 KEEP, DELETE, JOIN = "K", "D", "J"
+MISSED = 0.01
 
 
 def corrupt(word: str, rnd: random.Random) -> tuple[str, list[str]]:
@@ -63,10 +64,15 @@ class CharEditor:
     def __init__(self):
         self.weights: dict[tuple[str, str], float] = {}
         self.options: dict[str, list[str]] = {}
+        #: So much below the word as it was read a reading may score.
+        self.margin = 0.0
 
     @classmethod
     def fit(cls, words: list[str], epochs: int = 3, seed: int = 5) -> "CharEditor":
-        """words: as printed. Noise is drawn from CONFUSIONS; the same words give the same editor."""
+        """words: as printed. Noise is drawn from CONFUSIONS; the same words give the same editor.
+
+        The margin is the one that all but MISSED of newly drawn noise keeps.
+        """
         ed, rnd = cls(), random.Random(seed)
         pairs = [corrupt(w, rnd) for w in words]
         options: dict[str, set[str]] = defaultdict(set)
@@ -98,10 +104,26 @@ class CharEditor:
         for key in w:
             total[key] += (now - stamp[key]) * w[key]
         ed.weights = {k: v / max(now, 1) for k, v in total.items() if abs(v) > 1e-9}
+        fresh = random.Random(seed + 1)
+        drawn = [(x, ops) for x, ops in (corrupt(w, fresh) for w in words for _ in range(2)) if set(ops) != {KEEP} and "\n" not in x]
+        kept = sorted(ed.score(x, ops) - ed.keeping(x) for x, ops in drawn)
+        ed.margin = min(0.0, kept[int(len(kept) * MISSED)]) if kept else 0.0
         return ed
 
-    def readings(self, text: str, beam: int = 24, prefixes: frozenset[str] | None = None) -> list[str]:
-        """What may have been printed, the best first. prefixes: what it may begin with, if known."""
+    def score(self, text: str, ops: list[str]) -> float:
+        """Of the operations on the signs of the text."""
+        total, last = 0.0, KEEP
+        for i, op in enumerate(ops):
+            total += sum(self.weights.get((x, op), 0.0) for x in _features(text, i, last))
+            last = op[0]
+        return total
+
+    def keeping(self, text: str) -> float:
+        """Score of the word as it was read."""
+        return self.score(text, [KEEP] * len(text))
+
+    def readings(self, text: str, beam: int = 24, prefixes: frozenset[str] | None = None) -> list[tuple[str, float]]:
+        """What may have been printed with its score, the best first. prefixes: what it may begin with, if known."""
         hypotheses = [(0.0, "", KEEP)]
         for i, ch in enumerate(text):
             can = self.options.get(ch, [KEEP])
@@ -117,4 +139,7 @@ class CharEditor:
                     if s > after.get(key, -1e18):
                         after[key] = s
             hypotheses = [(s, o, a) for (o, a), s in sorted(after.items(), key=lambda x: (-x[1], x[0]))[:beam]]
-        return list(dict.fromkeys(o for _, o, _ in hypotheses))
+        best: dict[str, float] = {}
+        for s, o, _ in hypotheses:
+            best.setdefault(o, s)
+        return list(best.items())
