@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import leaks, mixing, quality, reading_level, residue, scans, splitting, subjects, topics
+from lectern.session import cut
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -33,13 +34,14 @@ def p4_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)
 
 
-def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.SubjectModel]:
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.SubjectModel, DataFrame]:
     areas = [r.subject for r in table(spark, folder, "subject_areas", "subject").distinct().orderBy("subject").collect()]
     texts = table(spark, folder, "paragraphs", *PARAGRAPHS).filter("text IS NOT NULL AND trim(text) <> ''")
     vocab = topics.vocabulary(texts)
     encoded = topics.encode(texts, vocab, "doc_id", "para_index", "heading_level")
-    named = subjects.evidence(table(spark, folder, "content_analyses", "doc_id", "domain"), table(spark, folder, "subject_labels", "doc_id", "subject"), areas)
-    return encoded, subjects.fit(encoded, vocab, named, areas)
+    named = subjects.evidence(table(spark, folder, "content_analyses", "doc_id", "domain", "topics", "content_type"), table(spark, folder, "subject_labels", "doc_id", "subject"), areas)
+    named = cut(named)
+    return encoded, subjects.fit(encoded, vocab, named, areas), named
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +49,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_topics(spark: SparkSession, folder: str) -> DataFrame:
-    _, model = _subjects(spark, folder)
+    _, model, _ = _subjects(spark, folder)
     return spark.createDataFrame(model.table(), "topic int, subject string, top_terms string")
 
 

@@ -141,10 +141,11 @@ class Reader:
         c = Codes(words or [""])
         self.known = np.sort(c.hashes(c.starts, c.ends - 1))
         self._read: dict[str, str | None] = {}
+        self._guessed: dict[str, str | None] = {}
         self._prefixes: frozenset[str] | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_read": {}, "_prefixes": None}
+        return {**self.__dict__, "_read": {}, "_guessed": {}, "_prefixes": None}
 
     @property
     def prefixes(self) -> frozenset[str]:
@@ -180,8 +181,12 @@ class Reader:
         w = w.lower()
         if len(w) < 5 or sum(c.isalpha() for c in w) < 4 or not _ODD.search(w):
             return None
-        r, score = self.editor.readings(w)[0]
-        return r if r.isalpha() and r != w and score > self.editor.keeping(w) else None
+        if w not in self._guessed:
+            if len(self._guessed) > 200_000:
+                self._guessed.clear()
+            r, score = self.editor.readings(w, beam=4)[0]
+            self._guessed[w] = r if r.isalpha() and r != w and score > self.editor.keeping(w) else None
+        return self._guessed[w]
 
     def misread(self, chunk: str) -> str | None:
         core = chunk.strip(_EDGE)
@@ -596,7 +601,7 @@ def repaired_paragraphs(paragraphs: DataFrame, files: DataFrame, reader: Reader)
 
 def _maybe_scanned(texts: list[str], strange: np.ndarray) -> bool:
     """Whether a closer look may find the file scanned: see is_scanned()."""
-    return bool(strange.any()) or sum(any(c.isdigit() or c in "lIixv" for c in t) and bool(PAGE.match(t.strip()) or _LEAD.match(t.strip()) or _TAIL.match(t.strip())) for t in texts) >= 2
+    return bool(strange.any()) or sum(t.count(" ") < 2 * HEADER_WORDS and any(c.isdigit() or c in "lIixv" for c in t) and bool(PAGE.match(t.strip()) or _LEAD.match(t.strip()) or _TAIL.match(t.strip())) for t in texts) >= 2
 
 
 def evidence(found: list[tuple[int, str, str, str | None]], own: list[bool]) -> Counter[str]:

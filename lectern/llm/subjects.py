@@ -1,13 +1,20 @@
 """Subject areas of each parsed file.
 
-Latent Dirichlet topics are fitted over all paragraphs. A topic is mapped to a subject
-through its top terms: each term carries the subjects of the files it stands in, as far
-as their analyses or ratings name one. A file gets the subjects to which whole
-paragraphs are given over, from the topic proportions of its paragraphs.
+Latent Dirichlet topics are fitted over all paragraphs. They start nearly alike: each
+subject has a topic that leans by LEAN to the terms of files whose analyses or ratings name
+it, and the fit, run until it settles, makes them what they are. A topic is mapped to a
+subject through its top terms: each term carries the subjects of the files it stands in. A
+file gets the subjects to which whole paragraphs are given over, from the topic proportions
+of its paragraphs.
+
+What analyses say is read from their domain; topics and content types get the subject that
+most analyses with a clear domain use them for, and speak where the domain does not.
 
 Defined results: null and blank paragraphs say nothing; twins count once; a file whose
 text is mostly junk has no subject; analyses that are missing, vague or unknown are no
-evidence, wrong ones are outvoted; without any evidence no topic has a subject.
+evidence, wrong ones are outvoted; a file whose paragraphs hold too few known words gets
+the subject that its own analysis names, if any; without any evidence no topic has a
+subject.
 """
 
 from __future__ import annotations
@@ -35,8 +42,11 @@ NAMES = {
     "sport": "sport sports athletics athletic fitness coaching recreation training physical",
     "public_administration": "public administration government gov municipal civic civil council local sector",
 }
-EXTRA_TOPICS = 8
+EXTRA_TOPICS = 6
 TOP_TERMS = 40
+LEAN = 0.1
+#: A topic or content type stands for a subject that so many analyses, and this share of them, use it for.
+LEAST_USES, USE_SHARE = 3, 0.7
 
 
 def named_subjects(said: Column, subjects: list[str]) -> Column:
@@ -53,13 +63,27 @@ def named_subjects(said: Column, subjects: list[str]) -> Column:
 
 
 def evidence(analyses: DataFrame, ratings: DataFrame, subjects: list[str]) -> DataFrame:
-    """(doc_id, subject): what analyses and ratings name, when they name one subject."""
+    """(doc_id, subject): what analyses and ratings name, when they name one subject.
+
+    analyses: doc_id, domain, and topics and content_type if there.
+    """
     said = (
         analyses.select("doc_id", named_subjects(F.col("domain"), subjects).alias("s")).filter(F.size("s") == 1)
         .select("doc_id", F.col("s")[0].alias("subject"))
     )
     rated = ratings.select("doc_id", "subject").filter(F.col("subject").isin(subjects))
-    return said.unionByName(rated).filter(F.col("doc_id").isNotNull()).distinct()
+    both = said.unionByName(rated)
+    if {"topics", "content_type"} <= set(analyses.columns):
+        plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+        words = F.concat(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: plain(t)), F.array(plain(F.col("content_type"))))
+        used = analyses.select("doc_id", F.explode(words).alias("value")).filter("value <> '' AND doc_id IS NOT NULL").distinct()
+        most = lambda x, by: x.groupBy(by).agg(F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        uses = used.join(said.distinct(), "doc_id").groupBy("value", "subject").agg(F.count("*").alias("n"))
+        meaning = most(uses, "value").filter((F.col("most") >= LEAST_USES) & (F.col("most") >= USE_SHARE * F.col("n"))).select("value", "subject")
+        votes = used.join(meaning, "value").groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
+        hinted = most(votes, "doc_id").filter(F.col("most") * 3 >= F.col("n") * 2).select("doc_id", "subject")
+        both = both.unionByName(hinted.join(said.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return both.filter(F.col("doc_id").isNotNull()).distinct()
 
 
 def _one(p: np.ndarray) -> np.ndarray:
@@ -107,18 +131,18 @@ def term_subjects(encoded: DataFrame, named: DataFrame, subjects: list[str], siz
     return out
 
 
-def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: list[str], rounds: int = 2, alpha: float = 0.1, seed: int = 11) -> SubjectModel:
+def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: list[str], rounds: int = topics.MOST_ROUNDS, alpha: float = 0.1, seed: int = 11) -> SubjectModel:
     vocab = vocab[vocab["used"]]
     v, s = len(vocab), len(subjects)
     counts = term_subjects(encoded, named, subjects, v)
     # how much more often a term stands in files of a subject than in files at large
     rate = (counts + 0.2) / (counts.sum(0) + 0.2 * v) if v else counts
-    lift = rate / rate.mean(1, keepdims=True) if v else rate
+    lift = np.clip(rate / rate.mean(1, keepdims=True), 0.2, 5) if v else rate
     df = vocab["df"].to_numpy(float)
     rnd = np.random.default_rng(seed)
-    seeded = np.where(lift > 0.3 * s, lift, 0.02) * df[:, None]
-    free = rnd.gamma(1.0, 1.0, (v, EXTRA_TOPICS)) * (df * (lift.max(1) < 2.0) + 0.05)[:, None] if v else np.zeros((0, EXTRA_TOPICS))
-    start = np.concatenate([seeded, free], 1).T + 0.05
+    leaning = df[:, None] * (1 + LEAN * (lift - 1)) if v else np.zeros((0, s))
+    free = df[:, None] * rnd.gamma(20.0, 1 / 20.0, (v, EXTRA_TOPICS))
+    start = np.concatenate([leaning, free], 1).T + 0.05
     lam = topics.fit(encoded, start, rounds, alpha)
     phi = _one(lam)
     # the subject of a topic is what its top terms stand for, if they stand for one clearly
@@ -139,8 +163,11 @@ def fit(encoded: DataFrame, vocab: pd.DataFrame, named: DataFrame, subjects: lis
 WHOLE, MOSTLY, LEAST, PART = 0.85, 0.65, 3.0, 0.15
 
 
-def file_subjects(encoded: DataFrame, model: SubjectModel) -> DataFrame:
-    """(doc_id, subject, share): the subjects of each file; share is of its subject words."""
+def file_subjects(encoded: DataFrame, model: SubjectModel, named: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject, share): the subjects of each file; share is of its subject words.
+
+    named: evidence(), for files whose paragraphs say too little; their share is null.
+    """
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +204,11 @@ def file_subjects(encoded: DataFrame, model: SubjectModel) -> DataFrame:
     })
     given = (F.col("whole") >= 1) | (F.col("mostly") >= 2) | ((F.col("small") >= 5) & (F.col("small") >= PART * F.col("total")))
     name = F.element_at(F.array(*map(F.lit, model.subjects)), F.col("s") + 1)
-    return (
-        known.withColumn("given", given).withColumn("any", F.max("given").over(w))
-        .filter(~F.col("is_junk") & (F.col("given") | (~F.col("any") & (F.col("rank") == 1) & (F.col("words") >= LEAST))))
-        .select("doc_id", name.alias("subject"), (F.col("words") / F.col("total")).alias("share"))
-    )
+    judged = known.withColumn("given", given).withColumn("any", F.max("given").over(w)).filter(~F.col("is_junk"))
+    said = F.col("given") | (~F.col("any") & (F.col("rank") == 1) & (F.col("words") >= LEAST))
+    silent = ~F.col("any") & (F.col("rank") == 1) & (F.col("words") < LEAST)
+    rows = judged.filter(said | silent).select("doc_id", F.when(said, name).alias("subject"), F.when(said & (F.col("total") > 0), F.col("words") / F.col("total")).alias("share"))
+    if named is not None:
+        one = named.groupBy("doc_id").agg(F.min("subject").alias("own"), F.count("*").alias("n")).filter("n = 1").select("doc_id", "own")
+        rows = rows.join(one, "doc_id", "left").select("doc_id", F.coalesce("subject", "own").alias("subject"), "share")
+    return rows.filter("subject IS NOT NULL")

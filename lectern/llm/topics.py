@@ -25,6 +25,8 @@ MOST_SHARE = 0.12
 LEAST_LENGTH = 3
 #: So many more terms are known, as too frequent or too rare for a topic.
 KNOWN_MORE = 4_000
+#: The fit has settled when topics change by less than SETTLED of their mass, and less than in the round before.
+SETTLED, MOST_ROUNDS = 0.2, 12
 
 
 def _terms(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Codes, np.ndarray, np.ndarray]]:
@@ -136,12 +138,13 @@ def expected_beta(lam: np.ndarray) -> np.ndarray:
     return np.exp(_digamma(lam) - _digamma(lam.sum(1))[:, None]).T.astype(np.float32)
 
 
-def fit(encoded: DataFrame, start: np.ndarray, rounds: int = 2, alpha: float = 0.1, eta: float = 0.05, inner: int = 4) -> np.ndarray:
-    """Topic weights (topics x vocabulary) after `rounds` passes of EM over all rows."""
+def fit(encoded: DataFrame, start: np.ndarray, rounds: int = MOST_ROUNDS, alpha: float = 0.1, eta: float = 0.05, inner: int = 3) -> np.ndarray:
+    """Topic weights (topics x vocabulary) by passes of EM over all rows until they settle, or after `rounds`."""
     lam = start
     k, v = lam.shape
     if not v:
         return lam
+    before = 0.0
     for _ in range(rounds):
         beta = expected_beta(lam)
 
@@ -157,6 +160,11 @@ def fit(encoded: DataFrame, start: np.ndarray, rounds: int = 2, alpha: float = 0
             yield pd.DataFrame({"topic": topic.astype(np.int32), "term": term.astype(np.int32), "value": total[term, topic]})
 
         got = encoded.select("ids").mapInPandas(step, "topic int, term int, value double").groupBy("topic", "term").agg(F.sum("value").alias("value")).toPandas()
-        lam = np.full((k, v), eta)
-        lam[got["topic"], got["term"]] += got["value"]
+        new = np.full((k, v), eta)
+        new[got["topic"], got["term"]] += got["value"]
+        change = np.abs(new / new.sum(1, keepdims=True) - lam / lam.sum(1, keepdims=True)).sum(1).mean()
+        lam = new
+        if change < SETTLED and change < before:
+            break
+        before = change
     return lam

@@ -48,3 +48,25 @@ def test_nothing(spark):
     enc = topics.encode(texts, vocab, "doc_id", "para_index", "heading_level")
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.file_subjects(enc, subjects.fit(enc, vocab, none, SUBJECTS)).count() == 0
+
+
+def test_topics_and_content_types_speak(spark):
+    rows = [(i, "banking", [" Credit  Risk", "notes"], "Statement") for i in range(5)] + [(10 + i, "clinic", ["notes"], "chart") for i in range(5)]
+    rows += [(20, None, ["credit risk"], None), (21, "unknown", None, "CHART"), (22, "unknown", ["notes"], "other"), (23, "sports", ["credit risk"], None), (24, None, None, None), (None, "tax", None, None)]
+    said = spark.createDataFrame(rows, "doc_id long, domain string, topics array<string>, content_type string")
+    rated = spark.createDataFrame([(30, "sport")], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.evidence(said, rated, SUBJECTS).collect() if r.doc_id >= 20}
+    assert got == {(20, "finance"), (21, "medicine"), (23, "sport"), (30, "sport")}
+
+
+def test_own_analysis_fills_in(spark):
+    df, truth = corpus(spark)
+    silent = spark.createDataFrame([(700, 0, 0, "zum der von dem", "c")], df.schema)
+    texts = df.unionByName(silent).filter("text is not null")
+    vocab = topics.vocabulary(texts, most_share=0.5)
+    enc = topics.encode(texts, vocab, "doc_id", "para_index", "heading_level")
+    named = spark.createDataFrame([(d, sorted(s)[0]) for d, s in truth.items() if d % 2 and len(s) == 1] + [(700, "sport")], "doc_id long, subject string")
+    got = {}
+    for r in subjects.file_subjects(enc, subjects.fit(enc, vocab, named, SUBJECTS), named).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert got.get(700) == {"sport"} and sum(got.get(d) == s for d, s in truth.items()) >= 0.95 * len(truth)
