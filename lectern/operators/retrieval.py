@@ -6,7 +6,11 @@ of the query: rankings are those of BM25, and documents without any term share o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,39 +53,133 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: So many parts are made of the documents that a query is held against.
+PARTS = 16
+
+
+def combinations(m: int, most: int = 20) -> list[tuple[int, int, int]]:
+    """Of m terms the choices of three, in order; of more than `most` evenly many of them."""
+    all_ = [(a, b, c) for a in range(1, m + 1) for b in range(a + 1, m + 1) for c in range(b + 1, m + 1)]
+    return all_ if len(all_) <= most else all_[:: len(all_) // most][:most]
+
+
 def self_retrieval(weights: DataFrame, index: DataFrame, n_terms: int = 8, k: int = 5, most: int = 20) -> DataFrame:
     """(doc_id, self_retrieval): share of queries of three of its top terms that find the document among the first k.
 
-    Rank by counting: per document only the candidates that share a term are scored, once
-    for each term; a query is a hit if fewer than k candidates beat the document.
+    Rank by counting: a query is a hit if fewer than k documents beat it. The documents that
+    share a term with one are spread over PARTS tasks, each with the scores of the document
+    itself; there all its queries are scored at once as a product of matrices, and only
+    counts are shuffled.
     """
     w = W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
     top = weights.filter("weight > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r"))
     have = top.groupBy("q").agg(F.count("*").cast("int").alias("m"))
-    parts = top.join(index.withColumnRenamed("doc_id", "d"), "term").groupBy("q", "d").agg(F.map_from_entries(F.collect_list(F.struct("r", "part"))).alias("p"))
-    own = parts.filter("q = d").select("q", F.col("p").alias("own"))
-    combos = [(a, b, c) for a in range(1, n_terms + 1) for b in range(a + 1, n_terms + 1) for c in range(b + 1, n_terms + 1)]
-
-    def chosen(m: int) -> list[tuple[int, int, int]]:
-        all_ = [x for x in combos if x[2] <= m]
-        return all_ if len(all_) <= most else all_[:: len(all_) // most][:most]
+    asked = have.filter("m >= 3")
+    met = top.join(asked, "q").join(index.withColumnRenamed("doc_id", "d"), "term").select("q", "m", "d", "r", "part")
+    own = met.filter("q = d").select("q", "m", F.lit(None).cast(index.schema["doc_id"].dataType).alias("d"), "r", "part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("s"))
+    spread = met.filter("q <> d").withColumn("s", F.pmod(F.xxhash64("d"), F.lit(PARTS)).cast("int")).unionByName(own)
+    rows = spread.repartition("q", "s").sortWithinPartitions("q", "s", F.col("d").asc_nulls_first()).select("q", "s", "m", "d", "r", "part")
+    kind = weights.schema["doc_id"].dataType.simpleString()
+    chosen = {m: combinations(m, most) for m in range(3, n_terms + 1)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uses = {m: np.zeros((n_terms, len(c))) for m, c in chosen.items()}
+        for m, c in chosen.items():
+            for i, rs in enumerate(c):
+                uses[m][[r - 1 for r in rs], i] = 1
+        rest, mine = None, (None, np.zeros(n_terms))
+        for d in (*batches, None):
+            last = d is None
+            d = rest if last else d if rest is None else pd.concat([rest, d], ignore_index=True)
+            if d is None or not len(d):
+                continue
+            if not last:
+                # the last pair may go on in the next batch
+                q, s, x = d["q"].to_numpy(), d["s"].to_numpy(), d["d"].to_numpy()
+                null = pd.isna(x)
+                same = (q == q[-1]) & (s == s[-1]) & (null if null[-1] else x == x[-1])
+                cutoff = int(np.argmax(same))
+                rest, d = d.iloc[cutoff:], d.iloc[:cutoff]
+                if not cutoff:
+                    continue
+            q, s, x, null = d["q"].to_numpy(), d["s"].to_numpy(), d["d"].to_numpy(), d["d"].isna().to_numpy()
+            new_q = np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])]
+            pair = np.cumsum(np.r_[True, new_q[1:] | (null[1:] != null[:-1]) | (~null[1:] & (x[1:] != x[:-1]))]) - 1
+            n = int(pair[-1]) + 1
+            part = np.zeros((n, n_terms))
+            part[pair, d["r"].to_numpy() - 1] = d["part"].to_numpy()
+            first = np.flatnonzero(np.r_[True, np.diff(pair) > 0])
+            q, s, x, null, m = q[first], s[first], x[first], null[first], d["m"].to_numpy()[first]
+            group = np.cumsum(np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])]) - 1
+            lead = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+            selves = np.where(null[lead][:, None], part[lead], 0.0)
+            if not null[0] and mine[0] == (q[0], s[0]):
+                selves[0] = mine[1]
+            mine = ((q[lead[-1]], s[lead[-1]]), selves[-1])
+            out = []
+            for size in np.unique(m):
+                at = np.flatnonzero((m == size) & ~null)
+                if not len(at):
+                    continue
+                theirs, its = np.round(part[at] @ uses[size], 9), np.round(selves[group[at]] @ uses[size], 9)
+                beats = (theirs > its) | (theirs == its) & (x[at] < q[at])[:, None]
+                edge = np.flatnonzero(np.r_[True, np.diff(group[at]) > 0])
+                sums = np.add.reduceat(beats.astype(np.int64), edge, axis=0)
+                g, i = np.nonzero(sums)
+                out.append(pd.DataFrame({"q": q[at][edge][g], "i": i.astype(np.int32), "n": sums[g, i]}))
+            if out:
+                yield pd.concat(out)
 
-    table = F.create_map(*[x for m in range(3, n_terms + 1) for x in (F.lit(m), F.array(*[F.array(*map(F.lit, c)) for c in chosen(m)]))])
-    asked = have.filter("m >= 3").withColumn("combos", table[F.col("m")])
-    value = lambda p, c: F.round(F.aggregate(c, F.lit(0.0), lambda s, r: s + F.coalesce(F.element_at(p, r), F.lit(0.0))), 9)
     beats = (
-        parts.filter("q <> d").join(own, "q").join(asked, "q")
-        .select("q", "d", F.posexplode("combos").alias("i", "c"), "p", "own")
-        .withColumns({"s": value(F.col("p"), F.col("c")), "o": value(F.col("own"), F.col("c"))})
-        .filter((F.col("s") > F.col("o")) | ((F.col("s") == F.col("o")) & (F.col("d") < F.col("q"))))
-        .groupBy("q", "i").agg(F.count("*").alias("n")).filter(F.col("n") >= k).groupBy("q").agg(F.count("*").alias("missed"))
+        rows.mapInPandas(count, f"q {kind}, i int, n long").groupBy("q", "i").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= k).groupBy("q").agg(F.count("*").alias("missed"))
     )
+    sizes = F.create_map(*[x for m, c in chosen.items() for x in (F.lit(m), F.lit(len(c)))])
     return (
-        have.join(asked.select("q", F.size("combos").alias("asked")), "q", "left").join(beats, "q", "left")
+        have.withColumn("asked", sizes[F.col("m")]).join(beats, "q", "left")
         .select(F.col("q").alias("doc_id"), F.when(F.col("asked") > 0, 1 - F.coalesce("missed", F.lit(0)) / F.col("asked")).otherwise(0.0).alias("self_retrieval"))
     )
 
 
+#: Words that a query leaves out.
+QUERY_STOP = "the and for with from that this into your about over under when where what which".split()
+QUERY_TERM = "[a-zA-Z][a-zA-Z0-9-]{2,}"
+
+
+def query_words(text: Column) -> Column:
+    """Words of a text that may stand in a query, in lower case and in order."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({QUERY_TERM})"), F.lit(1)), lambda t: F.lower(t)), lambda t: ~t.isin(QUERY_STOP))
+
+
+def benchmark_queries(docs: DataFrame, paras: DataFrame, weights: DataFrame, most: int = 6) -> DataFrame:
+    """(query_id, text): for each file the first words of its headings, then its heaviest terms, `most` in all.
+
+    Files with neither are asked for by the words of their stem, or by their file name.
+    Equal weights go to the smaller term.
+    """
+    heads = paras.filter("level > 0").select("doc_id", "index", F.posexplode(query_words(F.col("text"))).alias("pos", "term"))
+    heads = heads.select("doc_id", "term", F.struct(F.lit(0).alias("by"), F.col("index").cast("double").alias("a"), F.col("pos").alias("b")).alias("place"))
+    heavy = weights.filter(~F.col("term").isin(QUERY_STOP)).select("doc_id", "term", F.struct(F.lit(1).alias("by"), (-F.round("weight", 9)).alias("a"), F.lit(0).alias("b")).alias("place"))
+    # heaviest terms that can count at all, kept apart before the shuffle
+    heavy = heavy.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("place", "term"))).filter(F.col("rn") <= 2 * most).drop("rn")
+    each = heads.unionByName(heavy).groupBy("doc_id", "term").agg(F.min("place").alias("place"))
+    rank = W.partitionBy("doc_id").orderBy("place", "term")
+    few = each.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= most)
+    made = few.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rn", "term"))).alias("t")).select("doc_id", F.array_join(F.transform("t", lambda x: x.term), " ").alias("made"))
+    stem = F.array_join(F.slice(query_words(F.col("stem")), 1, most), " ")
+    return docs.join(made, "doc_id", "left").select(F.col("doc_id").alias("query_id"), F.coalesce("made", F.when(stem != "", stem), F.col("filename")).alias("text"))
+
+
+def padded(ranked: DataFrame, items: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
+    """Rankings filled up to k with the first items that aren't in them. items: key; queries: query_id."""
+    short = queries.select("query_id").distinct().join(ranked.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").fillna(0, ["n"]).filter(F.col("n") < k)
+    # k items a query at most are needed, of the first 2 k of all
+    first = items.select(key).distinct().orderBy(key).limit(2 * k)
+    free = short.crossJoin(F.broadcast(first)).join(ranked.select("query_id", key), ["query_id", key], "left_anti")
+    more = free.withColumn("rank", F.col("n") + F.row_number().over(W.partitionBy("query_id").orderBy(key))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", key, "rank").unionByName(more.select("query_id", key, F.col("rank").cast("int").alias("rank")))
+
+
 def measures(rankings: DataFrame, gold: DataFrame, key: str, k: int = 5, depth: int = 10) -> DataFrame:
     """One row: hit rate at k (called recall), MRR to `depth`, nDCG at k. rankings: query_id, key, rank; gold: query_id, key."""
     hit = rankings.filter(F.col("rank") <= depth).join(gold, ["query_id", key]).select("query_id", "rank")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.plans import feature_queries, graph_queries, orphan_queries, scoring_queries, stream_queries
+from lectern.plans import feature_queries, graph_queries, orphan_queries, report_queries, scoring_queries, stream_queries
 
 FLAGSHIP = "scorecards"
-_MODULES = (orphan_queries, scoring_queries, feature_queries, graph_queries, stream_queries)
+_MODULES = (orphan_queries, scoring_queries, feature_queries, graph_queries, stream_queries, report_queries)
 
 
 def queries() -> dict:

@@ -131,7 +131,7 @@ SQL = {
     "graph_summary": f"WITH {_EDGE} SELECT (SELECT count(*) FROM merged) AS n_entities, (SELECT count(DISTINCT entity_type) FROM merged) AS n_entity_types, (SELECT count(*) FROM ed) AS n_edges, (SELECT count(DISTINCT rel_type) FROM ed) AS n_rel_types, (SELECT count(*) FROM un) AS n_unresolved",
     "shared_entity_similarity": f"""WITH {_ENT}, nf AS (SELECT count(DISTINCT doc_id) AS n FROM source_files), w AS (SELECT file, key, df, ln((n + 1) / (df + 1)::DOUBLE) AS idf FROM ment JOIN (SELECT key, count(*) AS df FROM ment GROUP BY key) USING (key), nf),
         nn AS (SELECT file, sqrt(sum(idf * idf)) AS norm FROM w GROUP BY file)
-        SELECT file_a, file_b, round(CASE WHEN x.norm * y.norm > 0 THEN dot / (x.norm * y.norm) ELSE 0 END, 6) AS cosine FROM (SELECT a.file AS file_a, b.file AS file_b, sum(a.idf * b.idf) AS dot FROM w a JOIN w b ON a.key = b.key AND a.file < b.file WHERE a.df <= 50 GROUP BY 1, 2)
+        SELECT file_a, file_b, round(CASE WHEN x.norm * y.norm > 0 THEN dot / (x.norm * y.norm) ELSE 0 END, 6) AS cosine FROM (SELECT a.file AS file_a, b.file AS file_b, sum(a.idf * b.idf) AS dot FROM w a JOIN w b ON a.key = b.key AND a.file < b.file GROUP BY 1, 2)
         JOIN nn x ON x.file = file_a JOIN nn y ON y.file = file_b""",
     "knowledge_scorecards": f"""WITH {CRIT}, {_ENT}, names AS (SELECT DISTINCT lower({_strip("name")}) AS k FROM entities WHERE name IS NOT NULL),
         miss AS (SELECT doc_id, count(DISTINCT k) AS n_unresolved FROM (SELECT doc_id, lower({_strip("x")}) AS k FROM (SELECT doc_id, unnest([source, target]) AS x FROM relationships)) WHERE k <> '' AND k NOT IN (SELECT k FROM names) GROUP BY doc_id),
