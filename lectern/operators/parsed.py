@@ -62,14 +62,20 @@ def heading_content(paras: DataFrame) -> DataFrame:
     )
 
 
+def _most(df: DataFrame, column: str) -> int:
+    """Largest value of a column of few values, 0 without rows."""
+    return int(df.agg(F.max(column)).first()[0] or 0)
+
+
 def heading_tree(paras: DataFrame) -> DataFrame:
     """(doc_id, index, level, text, parent_index): the parent is the last heading of a smaller level."""
     w = W.partitionBy("doc_id").orderBy("index").rowsBetween(W.unboundedPreceding, -1)
     heads = paras.filter("level > 0")
     # levels are few: the last heading of each level is carried along
-    last = {k: F.max(F.when(F.col("level") == k, F.col("index"))).over(w) for k in range(1, 10)}
-    out = heads.withColumns({f"last_{k}": c for k, c in last.items()})
-    parent = F.greatest(*[F.when(F.col("level") > k, F.col(f"last_{k}")) for k in range(1, 10)])
+    levels = range(1, _most(heads, "level"))
+    out = heads.withColumns({f"last_{k}": F.max(F.when(F.col("level") == k, F.col("index"))).over(w) for k in levels})
+    parents = [F.when(F.col("level") > k, F.col(f"last_{k}")) for k in levels]
+    parent = F.greatest(*parents) if len(parents) > 1 else parents[0] if parents else F.lit(None).cast("int")
     return out.select("doc_id", "index", "level", "text", parent.alias("parent_index"))
 
 
@@ -77,12 +83,19 @@ def heading_paths(paras: DataFrame) -> DataFrame:
     """(doc_id, index, path) of every heading: the path so far, cut to one less than the level, and the heading.
 
     After a jump in levels the path is shorter than the level, so the next heading of
-    the same level stays below the one before.
+    the same level stays below the one before. The length of a path is the least of its
+    level and the length before plus one, which is a running minimum; the path then holds
+    the last heading of each length, so no list of headings is carried along.
     """
-    w = W.partitionBy("doc_id").orderBy("index").rowsBetween(W.unboundedPreceding, 0)
-    heads = paras.filter("level > 0").withColumn("seen", F.collect_list(F.struct("level", "text")).over(w))
-    step = lambda acc, x: F.concat(F.slice(acc, 1, F.greatest(x.level - 1, F.lit(0))), F.array(stripped(x.text)))
-    return heads.select("doc_id", "index", "level", F.aggregate("seen", F.array().cast("array<string>"), step).alias("path"))
+    place = W.partitionBy("doc_id").orderBy("index")
+    upto = place.rowsBetween(W.unboundedPreceding, 0)
+    heads = paras.filter("level > 0").withColumn("text", stripped(F.col("text"))).withColumn("rn", F.row_number().over(place))
+    sized = heads.withColumn("depth", F.col("rn") + F.least(F.lit(0), F.min(F.col("level") - F.col("rn")).over(upto)))
+    # a path is no longer than the largest level
+    depths = range(1, _most(heads, "level") + 1)
+    last = sized.withColumns({f"at_{k}": F.last(F.when(F.col("depth") == k, F.col("text")), ignorenulls=True).over(upto) for k in depths})
+    path = F.slice(F.array(*[F.col(f"at_{k}") for k in depths]), F.lit(1), F.col("depth")) if depths else F.array().cast("array<string>")
+    return last.select("doc_id", "index", "level", path.alias("path"))
 
 
 def to_markdown(paras: DataFrame) -> DataFrame:

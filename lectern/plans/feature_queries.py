@@ -108,18 +108,6 @@ def split_recommendations(spark, folder):
     return rec.select("doc_id", F.array_join(F.transform("boundaries", lambda x: x.cast("string")), ",").alias("boundaries"), F.array_join("titles", "|").alias("titles"))
 
 
-def retrieval_benchmark(spark, folder):
-    """Titles as queries over the chunks of their files: hit rate, MRR and nDCG."""
-    c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").distinct()
-    gold = c.select(F.col("doc_id").alias("query_id"), "chunk_id").distinct()
-    q = table(spark, folder, "source_files", "doc_id", "title").filter("title IS NOT NULL").distinct().select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    gold = gold.join(q.select("query_id").distinct(), "query_id", "left_semi")
-    index, idf = retrieval.bm25_index(c.select("chunk_id", "text"), "chunk_id")
-    ranked = retrieval.top_k(retrieval.bm25(retrieval.query_terms(q), index, idf, "chunk_id"), 10, "chunk_id")
-    m = retrieval.measures(ranked, gold, "chunk_id")
-    return m.select(*[F.round(x, 6).alias(x) for x in ("recall_at_k", "mrr", "ndcg_at_k")], "query_count")
-
-
 def embedding_neighbours(spark, folder):
     """For every vector whose id is divisible by 20: the five others nearest by cosine."""
     e = table(spark, folder, "embeddings", "vec_id", "embedding").distinct()
@@ -138,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf_vocabulary, tfidf_weights, document_entropy, readability_grade, heading_coherence, information_density, topic_boundaries, similar_documents, bm25_top5, self_retrieval,
-        metrics_scorecards, rocchio_expansion, section_chunks, chunk_counts, split_recommendations, retrieval_benchmark, embedding_neighbours,
+        metrics_scorecards, rocchio_expansion, section_chunks, chunk_counts, split_recommendations, embedding_neighbours,
     )
 }
 
@@ -230,12 +218,6 @@ SQL = {
         hh AS (SELECT doc_id, list(index ORDER BY index) AS ix, list(regexp_replace(text, '^\\s+|\\s+$', '', 'g') ORDER BY index) AS t FROM paras WHERE level > 0 GROUP BY doc_id)
         SELECT doc_id, coalesce(b, array_to_string(ix[2:], ','), '') AS boundaries, coalesce(array_to_string(list_filter(t[1:6], lambda x: x <> ''), '|'), '') AS titles
         FROM (SELECT doc_id FROM crit WHERE category = 'file_focus' AND score <= 65) LEFT JOIN bb USING (doc_id) LEFT JOIN hh USING (doc_id)""",
-    "retrieval_benchmark": f"""WITH queries AS (SELECT DISTINCT doc_id AS query_id, title AS text FROM source_files WHERE title IS NOT NULL), texts AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL),
-        gold AS (SELECT DISTINCT doc_id AS query_id, chunk_id FROM chunks WHERE text IS NOT NULL AND doc_id IN (SELECT query_id FROM queries)), {_bm25("texts", "chunk_id", "queries")},
-        hit AS (SELECT query_id, min(rank) AS f, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM ranked JOIN gold USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY query_id),
-        per AS (SELECT query_id, count(*) AS g FROM gold GROUP BY query_id)
-        SELECT round(avg(CASE WHEN coalesce(f, 11) <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_k, round(avg(coalesce(1 / f::DOUBLE, 0)), 6) AS mrr,
-        round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(g, 5) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg_at_k, count(*) AS query_count FROM per LEFT JOIN hit USING (query_id)""",
     "embedding_neighbours": """WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e)
         SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (
           SELECT q.vec_id AS query_id, n.vec_id, list_inner_product(q.v, n.v) / (q.n * n.n) AS score FROM n, n q WHERE q.vec_id % 20 = 0 AND n.vec_id <> q.vec_id)) WHERE rank <= 5""",

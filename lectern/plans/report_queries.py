@@ -64,7 +64,7 @@ def _ranked(spark, folder):
     return retrieval.padded(top, c, q, 10, "chunk_id"), gold.join(q.select("query_id"), "query_id", "left_semi")
 
 
-def chunk_benchmark(spark, folder):
+def retrieval_benchmark(spark, folder):
     """Built queries over the chunks of their files."""
     m = retrieval.measures(*_ranked(spark, folder), "chunk_id")
     return m.select(*[F.round(x, 6).alias(x) for x in ("recall_at_k", "mrr", "ndcg_at_k")], "query_count")
@@ -153,7 +153,7 @@ def corpus_changes(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_issues, first_issues, files_to_fix, document_metrics, benchmark_queries, chunk_benchmark, benchmark_by_mode, escalation, search_good_files, search_domain, texttile_chunks, graph_types,
+        document_issues, first_issues, files_to_fix, document_metrics, benchmark_queries, retrieval_benchmark, benchmark_by_mode, escalation, search_good_files, search_domain, texttile_chunks, graph_types,
         cross_document_edges, related_entities, corpus_changes,
     )
 }
@@ -235,7 +235,7 @@ SQL = {
     "files_to_fix": f"WITH {sq.CRIT}, {_ISSUES} SELECT doc_id, round(overall_score, 6) AS overall_score, n_issues FROM cards JOIN (SELECT doc_id, count(*) AS n_issues FROM iss GROUP BY doc_id) USING (doc_id) WHERE overall_score < 85",
     "document_metrics": "",
     "benchmark_queries": f"WITH {fq.CORPUS}, {_BQ} SELECT query_id, text FROM built",
-    "chunk_benchmark": f"WITH {_RUN} SELECT round(recall_at_k, 6) AS recall_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k, query_count FROM ({_MEASURES})",
+    "retrieval_benchmark": f"WITH {_RUN} SELECT round(recall_at_k, 6) AS recall_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k, query_count FROM ({_MEASURES})",
     "benchmark_by_mode": f"""WITH {sq.GATE}, {_RUN.replace(fq.DOCS + ", " + fq.PARAS + ", ", "")} SELECT recommended_mode, count(*) AS query_count, round(avg(CASE WHEN coalesce(f, 11) <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_k, round(avg(coalesce(1 / f::DOUBLE, 0)), 6) AS mrr
         FROM per2 LEFT JOIN hit USING (query_id) JOIN gate ON gate.doc_id = query_id GROUP BY recommended_mode""",
     "escalation": f"""WITH {sq.CRIT}, {_RUN.replace(fq.DOCS + ", " + fq.PARAS + ", ", "")}, held AS (SELECT count(*) FILTER (gate_decision = 'HOLD_FOR_REVIEW') AS n_held FROM cards)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import shared_dir
 from lectern.streaming.incremental import arrivals_per_hour
 
 
@@ -16,10 +17,15 @@ def stream_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "source_files.parquet").parquet(folder)
-    name = f"arrivals_{uuid.uuid4().hex}"
-    query = arrivals_per_hour(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = f"{shared_dir(spark)}/arrivals_{uuid.uuid4().hex}"
+    counted = arrivals_per_hour(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/state")
+
+    query = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counted.schema).parquet(f"{out}/state")
 
 
 QUERIES = {"stream_arrivals": stream_arrivals}
