@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.llm import topics
+from lectern.session import cut
 
 #: Words by which analyses call the subject areas.
 NAMES = {
@@ -67,22 +69,22 @@ def evidence(analyses: DataFrame, ratings: DataFrame, subjects: list[str]) -> Da
 
     analyses: doc_id, domain, and topics and content_type if there.
     """
-    said = (
-        analyses.select("doc_id", named_subjects(F.col("domain"), subjects).alias("s")).filter(F.size("s") == 1)
-        .select("doc_id", F.col("s")[0].alias("subject"))
-    )
-    rated = ratings.select("doc_id", "subject").filter(F.col("subject").isin(subjects))
-    both = said.unionByName(rated)
-    if {"topics", "content_type"} <= set(analyses.columns):
-        plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-        words = F.concat(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: plain(t)), F.array(plain(F.col("content_type"))))
-        used = analyses.select("doc_id", F.explode(words).alias("value")).filter("value <> '' AND doc_id IS NOT NULL").distinct()
+    known = {"topics", "content_type"} <= set(analyses.columns)
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    words = F.concat(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: plain(t)), F.array(plain(F.col("content_type")))) if known else F.array().cast("array<string>")
+    # read once: what the domain names, and the other values
+    read = analyses.filter("doc_id IS NOT NULL").select("doc_id", named_subjects(F.col("domain"), subjects).alias("s"), F.array_distinct(words).alias("values"))
+    read = cut(read.select("doc_id", F.when(F.size("s") == 1, F.col("s")[0]).alias("subject"), "values").distinct()) if known else read.select("doc_id", F.when(F.size("s") == 1, F.col("s")[0]).alias("subject"), "values")
+    said = read.filter("subject IS NOT NULL").select("doc_id", "subject")
+    both = said.unionByName(ratings.select("doc_id", "subject").filter(F.col("subject").isin(subjects)))
+    if known:
         most = lambda x, by: x.groupBy(by).agg(F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("most"), F.sum("n").alias("n"))
-        uses = used.join(said.distinct(), "doc_id").groupBy("value", "subject").agg(F.count("*").alias("n"))
-        meaning = most(uses, "value").filter((F.col("most") >= LEAST_USES) & (F.col("most") >= USE_SHARE * F.col("n"))).select("value", "subject")
-        votes = used.join(meaning, "value").groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
+        used = read.select("doc_id", "subject", F.explode("values").alias("value")).filter("value <> ''")
+        uses = used.filter("subject IS NOT NULL").groupBy("value", "subject").agg(F.count("*").alias("n"))
+        meaning = most(uses, "value").filter((F.col("most") >= LEAST_USES) & (F.col("most") >= USE_SHARE * F.col("n"))).select("value", F.col("subject").alias("means"))
+        votes = used.filter("subject IS NULL").join(meaning, "value").groupBy("doc_id", F.col("means").alias("subject")).agg(F.count("*").alias("n"))
         hinted = most(votes, "doc_id").filter(F.col("most") * 3 >= F.col("n") * 2).select("doc_id", "subject")
-        both = both.unionByName(hinted.join(said.select("doc_id").distinct(), "doc_id", "left_anti"))
+        both = both.unionByName(hinted)
     return both.filter(F.col("doc_id").isNotNull()).distinct()
 
 
@@ -97,9 +99,9 @@ class SubjectModel:
         self.lam, self.of_topic, self.subjects, self.words, self.alpha = lam, of_topic, subjects, words, alpha
         self.beta = topics.expected_beta(lam)
 
-    def shares(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per paragraph the expected number of words of each subject, and of no subject."""
-        gamma, _, _ = topics.expectation(ids, self.beta, self.alpha, 6)
+        gamma, _ = topics.expectation(flat, lengths, self.beta, self.alpha, 6, words=False)
         mass = np.maximum(gamma - self.alpha, 0)
         out = np.stack([mass[:, self.of_topic == s].sum(1) for s in range(len(self.subjects))], 1)
         return out, mass[:, self.of_topic < 0].sum(1)
@@ -170,20 +172,21 @@ def file_subjects(encoded: DataFrame, model: SubjectModel, named: DataFrame | No
     """
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            ids = d["ids"].tolist()
-            for a in range(0, len(ids), 4096):
-                x, _ = model.shares(ids[a : a + 4096])
-                part, total = d.iloc[a : a + 4096], x.sum(1)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "para_index": part["para_index"], "h": part["h"], "n_chars": part["n_chars"], "junk": part["junk"],
-                    "s": x.argmax(1).astype(np.int32), "share": x.max(1) / np.maximum(total, 1e-9), "words": total,
-                })
-
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, lengths = topics.laid_out(batch)
+            for a, b, values in topics.parts(flat, lengths):
+                x, _ = model.shares(values, lengths[a:b])
+                total = x.sum(1).astype(np.float64)
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c) for c in kept), pa.array(x.argmax(1).astype(np.int32)), pa.array(x.max(1).astype(np.float64) / np.maximum(total, 1e-9)), pa.array(total)], names=[*kept, "s", "share", "words"],
+                )
+
+    kept = ["doc_id", "para_index", "h", "n_chars", "junk"]
     paras = (
         encoded.filter(F.coalesce("heading_level", F.lit(0)) == 0).select("doc_id", "para_index", "h", "n_chars", "junk", "ids")
-        .mapInPandas(judge, f"doc_id {kind}, para_index int, h long, n_chars long, junk boolean, s int, share double, words double")
+        .mapInArrow(judge, f"doc_id {kind}, para_index int, h long, n_chars long, junk boolean, s int, share double, words double")
         .dropDuplicates(["doc_id", "para_index", "h"])
     )
     enough = F.col("words") >= LEAST

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ LEAST_LENGTH = 3
 #: So many more terms are known, as too frequent or too rare for a topic.
 KNOWN_MORE = 4_000
 #: The fit has settled when topics change by less than SETTLED of their mass, and less than in the round before.
-SETTLED, MOST_ROUNDS = 0.2, 12
+SETTLED, MOST_ROUNDS = 1 / 3, 12
 
 
 def _terms(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Codes, np.ndarray, np.ndarray]]:
@@ -110,27 +111,46 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
 
 
-def expectation(ids: list[np.ndarray], beta: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(batch: pa.RecordBatch, column: str = "ids") -> tuple[np.ndarray, np.ndarray]:
+    """(values laid end to end, their number in each row) of a column of lists."""
+    col = batch.column(column)
+    offsets = col.offsets.to_numpy()
+    return col.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def parts(flat: np.ndarray, lengths: np.ndarray, most: int = 4096) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, last row, values) of runs of rows."""
+    ends = np.r_[0, np.cumsum(lengths)]
+    for a in range(0, len(lengths), most):
+        b = min(a + most, len(lengths))
+        yield a, b, flat[ends[a] : ends[b]]
+
+
+def expectation(flat: np.ndarray, lengths: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, words: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Variational E step. beta: vocabulary x topics, exp E[log phi], in single precision.
 
-    Returns gamma (documents x topics), and of every word its number and its topic
-    responsibilities.
+    Returns gamma (documents x topics), and, if words, the topic responsibilities of every word.
     """
-    n, k = len(ids), beta.shape[1]
-    lengths = np.fromiter((len(x) for x in ids), dtype=np.int64, count=n)
-    flat = np.concatenate(ids) if n else np.zeros(0, dtype=np.int32)
-    owner = np.repeat(np.arange(n), lengths)
+    n, k = len(lengths), beta.shape[1]
     some = lengths > 0
-    first = (np.cumsum(lengths) - lengths)[some]
-    b = resp = beta[flat]
+    own = lengths[some]
+    first = np.cumsum(own) - own
+    b = beta[flat]
     gamma = np.full((n, k), alpha, dtype=np.float32) + (lengths[:, None] / k).astype(np.float32)
-    for _ in range(rounds if len(flat) else 0):
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None])
-        resp = b * theta[owner]
-        resp /= np.maximum(resp.sum(1), 1e-30)[:, None]
-        gamma = np.full((n, k), alpha, dtype=np.float32)
-        gamma[some] += np.add.reduceat(resp, first, axis=0)
-    return gamma, flat, resp
+    g, resp = gamma[some], b
+    for i in range(rounds if len(flat) else 0):
+        theta = np.exp(_digamma(g) - _digamma(g.sum(1))[:, None])
+        spread = np.repeat(theta, own, axis=0)
+        # a word's share of a topic is b * theta over its sum; theta is the same for all words of a document
+        norm = np.maximum(np.einsum("wk,wk->w", b, spread), 1e-30)
+        weighted = b / norm[:, None]
+        g = alpha + theta * np.add.reduceat(weighted, first, axis=0)
+        if words and i == rounds - 1:
+            resp = weighted * spread
+    if len(flat):
+        gamma[:] = alpha
+        gamma[some] = g
+    return gamma, resp if words else None
 
 
 def expected_beta(lam: np.ndarray) -> np.ndarray:
@@ -148,18 +168,18 @@ def fit(encoded: DataFrame, start: np.ndarray, rounds: int = MOST_ROUNDS, alpha:
     for _ in range(rounds):
         beta = expected_beta(lam)
 
-        def step(batches: Iterator[pd.DataFrame], beta: np.ndarray = beta) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch], beta: np.ndarray = beta) -> Iterator[pa.RecordBatch]:
             total = np.zeros((v, k))
-            for d in batches:
-                ids = d["ids"].tolist()
-                for a in range(0, len(ids), 4096):
-                    _, term, resp = expectation(ids[a : a + 4096], beta, alpha, inner)
+            for batch in batches:
+                flat, lengths = laid_out(batch)
+                for a, b, term in parts(flat, lengths):
+                    _, resp = expectation(term, lengths[a:b], beta, alpha, inner)
                     for j in range(k):
                         total[:, j] += np.bincount(term, resp[:, j], minlength=v)
             term, topic = np.nonzero(total > 1e-6)
-            yield pd.DataFrame({"topic": topic.astype(np.int32), "term": term.astype(np.int32), "value": total[term, topic]})
+            yield pa.RecordBatch.from_pydict({"topic": pa.array(topic.astype(np.int32)), "term": pa.array(term.astype(np.int32)), "value": pa.array(total[term, topic])})
 
-        got = encoded.select("ids").mapInPandas(step, "topic int, term int, value double").groupBy("topic", "term").agg(F.sum("value").alias("value")).toPandas()
+        got = encoded.select("ids").mapInArrow(step, "topic int, term int, value double").groupBy("topic", "term").agg(F.sum("value").alias("value")).toPandas()
         new = np.full((k, v), eta)
         new[got["topic"], got["term"]] += got["value"]
         change = np.abs(new / new.sum(1, keepdims=True) - lam / lam.sum(1, keepdims=True)).sum(1).mean()
