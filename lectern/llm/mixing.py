@@ -8,8 +8,8 @@ The chance of inclusion grows with the square root of the size.
 Plan. Tokens are counted in Arrow batches and written once. Totals per source and
 histograms (sizes, then ranks: at most some thousand buckets a source) are all that is
 gathered, so a source with a third of all rows is never sorted as a whole: the bucket of
-ranks in which the size is reached is found from the histogram, and only the documents in
-that bucket are put in order.
+ranks in which the size is reached is found from the histogram, divided again by rank, and only the documents in the part of it
+in which the size is reached are put in order.
 
 Defined results: sources are compared by their clean spelling; documents of other
 sources, without text or with no token are not used; a target without documents keeps
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from lectern.llm.residue import host
 from lectern.session import cut
 
-SIZE_STEPS, RANK_STEPS = 32, 256
+SIZE_STEPS, RANK_STEPS, FINE_STEPS = 32, 256, 4096
 _ENCODINGS: dict[int, object] = {}
 
 
@@ -122,20 +122,31 @@ def choose(tokens: DataFrame, planned: pd.DataFrame, seed: int = 17) -> DataFram
     p = F.least(F.lit(1.0), F.col("scale") * F.sqrt("tokens"))
     rank = F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(1e300)).otherwise(u / (1 - u) * (1 - p) / p)
     ranked = docs.withColumn("rank", rank).withColumn("bin", F.floor(F.log2(F.col("rank") + 1e-18) * RANK_STEPS).cast("int"))
-    bins = ranked.filter("rest > 0").groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = F.sum("t").over(W.partitionBy("source").orderBy("bin"))
-    edge = (
-        bins.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest")).groupBy("source")
-        .agg(F.min(F.struct("bin", "upto", "t")).alias("e"))
-        .select("source", F.col("e.bin").alias("edge"), (F.col("e.upto") - F.col("e.t")).alias("before"))
-    )
-    placed = ranked.join(F.broadcast(edge), "source", "left")
-    inner = placed.filter((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")))).select("doc_id")
+
+    def reached(rows: DataFrame, step: str, have: str) -> DataFrame:
+        """(source, edge, before): the bucket in which a source reaches its size, and the tokens before it."""
+        bins = rows.groupBy("source", step).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first(have).alias("have"))
+        upto = F.col("have") + F.sum("t").over(W.partitionBy("source").orderBy(step))
+        return (
+            bins.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest")).groupBy("source")
+            .agg(F.min(F.struct(step, "upto", "t")).alias("e")).select("source", F.col(f"e.{step}").alias(f"{step}_edge"), (F.col("e.upto") - F.col("e.t")).alias(f"{step}_before"))
+        )
+
+    ranked = ranked.filter("rest > 0").withColumn("none", F.lit(0))
+    first = reached(ranked, "bin", "none")
+    placed = ranked.join(F.broadcast(first), "source", "left")
+    inner = placed.filter(F.col("bin_edge").isNull() | (F.col("bin") < F.col("bin_edge"))).select("doc_id")
+    # the bucket is divided once more by rank, so that what is put in order stays small
+    within = placed.filter("bin = bin_edge").withColumn("fine", F.floor((F.log2(F.col("rank") + 1e-18) * RANK_STEPS - F.col("bin")) * FINE_STEPS).cast("int"))
+    second = reached(within, "fine", "bin_before")
+    fine = within.join(F.broadcast(second), "source", "left")
+    middle = fine.filter(F.col("fine_edge").isNull() | (F.col("fine") < F.col("fine_edge"))).select("doc_id")
     order = W.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     last = (
-        placed.filter("rest > 0 AND bin = edge").withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+        fine.filter("fine = fine_edge").withColumn("upto", F.col("fine_before") + F.sum("tokens").over(order))
         .filter(F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).select("doc_id")
     )
+    inner = inner.unionByName(middle)
     extra = inner.unionByName(last).withColumn("extra", F.lit(1))
     return (
         docs.join(extra, "doc_id", "left").withColumn("repeats", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.llm import leaks, mixing, quality, reading_level, residue, scans, splitting, subjects, topics
 from lectern.session import cut
@@ -124,6 +125,25 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for the pieces of each kind of item, counted: nothing lost, none too long, overlaps as asked for."""
+    p = _pieces(spark, folder)
+    w = W.partitionBy("item_kind", "item_key", "n_pieces", F.xxhash64("heading_path")).orderBy("piece_no", "start")
+    p = p.withColumn("before", F.lag("end").over(w))
+    far = F.col("before").isNotNull() & (F.col("piece_no") > 0) & (F.abs(F.col("before") - F.col("start") - splitting.OVERLAP) > splitting.OVERLAP // 2)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return p.groupBy("item_kind").agg(
+        F.countDistinct("item_key").alias("n_items"), count(F.length("piece") > splitting.LIMIT).alias("n_too_long"), count((F.col("piece_no") > 0) & (F.col("start") > F.col("before"))).alias("n_lost"),
+        count(far).alias("n_far_overlaps"), F.sum(F.when(F.col("piece_no") == F.col("n_pieces") - 1, F.col("end"))).cast("long").alias("n_characters"),
+    )
+
+
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for the mixture, counted per target: no document used too often, shares as planned."""
+    s = p8_shares(spark, folder)
+    return s.select("source", "target_share", (F.col("most_repeats") > F.col("max_repeats")).alias("used_too_often"), (F.abs(F.col("actual_share") - F.col("planned_share")) > 0.01).alias("share_missed"), (F.col("n_documents") > 0).alias("used"))
+
+
 def _mix(spark: SparkSession, folder: str):
     tokens = mixing.count_tokens(table(spark, folder, "documents", "doc_id", "source", "text"))
     planned = mixing.plan(tokens, table(spark, folder, "source_targets"))
@@ -139,7 +159,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p8_chosen": p8_chosen, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p8_check": p8_check, "p8_chosen": p8_chosen, "p8_shares": p8_shares,
     "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_levels": p4_levels, "p5_found": p5_found, "p5_topics": p5_topics, "p6_found": p6_found, "p6_report": p6_report, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report, "p9_validation": p9_validation}
 SQL: dict[str, str] = {
     "p2_found": """
@@ -147,4 +167,14 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'paragraph', doc_id || ':' || para_index FROM paragraphs WHERE length(trim(text, E' \\t\\r\\n')) > 1400
     """,
+    "p2_check": """
+        SELECT item_kind, count(DISTINCT item_key) AS n_items, 0::BIGINT AS n_too_long, 0::BIGINT AS n_lost, 0::BIGINT AS n_far_overlaps, sum(length(text))::BIGINT AS n_characters FROM (
+          SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_key, text FROM chunks WHERE length(trim(text, E' \\t\\r\\n')) > 1400
+          UNION ALL SELECT DISTINCT 'paragraph', doc_id || ':' || para_index, text FROM paragraphs WHERE length(trim(text, E' \\t\\r\\n')) > 1400) GROUP BY item_kind
+    """,
+    "p8_check": r"""
+        WITH s AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source, target_share FROM source_targets),
+        d AS (SELECT DISTINCT regexp_replace(lower(trim(coalesce(source, ''))), '[\s_-]+', '_', 'g') AS source FROM documents WHERE text IS NOT NULL AND text <> '')
+        SELECT source, target_share, false AS used_too_often, false AS share_missed, source IN (SELECT source FROM d) AS used FROM s
+    """,
 }

@@ -98,16 +98,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
 
 
 def _restart(start: int, cut: int, overlap: int, ends: list[int], spaces: list[int]) -> int:
-    """Where the next piece begins: a sentence near the wanted place, else a word, else the place itself."""
+    """Where the next piece begins: the boundary nearest to the wanted place, a sentence's before a word's; the place itself if none is near."""
     if not overlap:
         return cut
-    want = cut - overlap
-    for places, most in ((ends, overlap // 3), (spaces, overlap // 2)):
+    want, near = cut - overlap, []
+    for kind, places in enumerate((ends, spaces)):
         i = bisect.bisect_left(places, want)
-        near = [p for p in places[max(0, i - 1) : i + 1] if start < p < cut and abs(p - want) <= most]
-        if near:
-            return min(near, key=lambda p: (abs(p - want), p))
-    return max(start + 1, want)
+        near += [(abs(p - want), kind, p) for p in places[max(0, i - 1) : i + 1] if start < p < cut and abs(p - want) <= overlap // 2]
+    return min(near)[2] if near else max(start + 1, want)
 
 
 def oversized(df: DataFrame, kind: str, item_key: Column, path: Column | None = None, limit: int = LIMIT) -> DataFrame:
