@@ -77,7 +77,7 @@ def heading_words(text: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, paras: DataFrame) -> DataFrame:
-    """One wide row of counts for each file; files without paragraphs have zeros."""
+    """One wide row of counts for each file; files without paragraphs have zeros, an unknown size counts as 0."""
     head, is_body, n, text = F.col("level") > 0, F.col("level") == 0, F.col("n_words"), F.col("text")
     one = lambda c: F.sum(c.cast("int"))
     own = words(F.lower(text))
@@ -97,7 +97,7 @@ def document_counts(docs: DataFrame, paras: DataFrame) -> DataFrame:
     )
     acronyms = undefined_acronyms(paras).groupBy("doc_id").agg(F.count("*").alias("n_acronyms"))
     out = docs.join(counted, "doc_id", "left").join(heading_jumps(paras), "doc_id", "left").join(topics, "doc_id", "left").join(acronyms, "doc_id", "left")
-    return out.fillna(0, [c for c in out.columns if c.startswith("n_") or c == "jumps"])
+    return out.fillna(0, [c for c in out.columns if c.startswith("n_") or c in ("jumps", "file_size_bytes")])
 
 
 def _floor0(c: Column) -> Column:
