@@ -49,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For maps that cost much per row: rows dealt out over the cores where the files make fewer tasks than there are cores.
+
+    Large tables have more tasks than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, which on a cluster don't share our files."""
     import zipfile
