@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.llm import leaks, mixing, quality, reading_level, residue, scans, splitting, subjects, topics
-from lectern.session import cut
+from lectern.session import cut, spread
 from lectern.sources.tables import table
 
 PARAGRAPHS = ("doc_id", "para_index", "heading_level", "text")
@@ -37,7 +37,7 @@ def p4_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.SubjectModel, DataFrame]:
     areas = [r.subject for r in table(spark, folder, "subject_areas", "subject").distinct().orderBy("subject").collect()]
-    texts = table(spark, folder, "paragraphs", *PARAGRAPHS).filter("text IS NOT NULL AND trim(text) <> ''")
+    texts = spread(table(spark, folder, "paragraphs", *PARAGRAPHS).filter("text IS NOT NULL AND trim(text) <> ''"))
     vocab = topics.vocabulary(texts)
     encoded = topics.encode(texts, vocab, "doc_id", "para_index", "heading_level")
     named = subjects.evidence(table(spark, folder, "content_analyses", "doc_id", "domain", "topics", "content_type"), table(spark, folder, "subject_labels", "doc_id", "subject"), areas)
@@ -75,7 +75,7 @@ def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, folder, "documents", "doc_id", "text"), leaks.index_of(table(spark, folder, "eval_items")))
+    return leaks.find_leaks(spread(table(spark, folder, "documents", "doc_id", "text")), leaks.index_of(table(spark, folder, "eval_items")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _residue(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents", "doc_id", "text", "title", "source")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text", "title", "source"))
     rows = residue.labelled(docs)
     return residue.find_residue(docs, residue.fit(rows) if rows["label"].nunique() > 1 else None)
 
@@ -145,7 +145,7 @@ def p8_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, folder: str):
-    tokens = mixing.count_tokens(table(spark, folder, "documents", "doc_id", "source", "text"))
+    tokens = mixing.count_tokens(spread(table(spark, folder, "documents", "doc_id", "source", "text")))
     planned = mixing.plan(tokens, table(spark, folder, "source_targets"))
     return mixing.choose(tokens, planned), planned
 
