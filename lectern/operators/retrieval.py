@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from lectern.functions.text import TOKEN1
 from lectern.operators.features import postings
+from lectern.session import cut
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -42,6 +43,37 @@ def bm25(queries: DataFrame, index: DataFrame, idf: DataFrame, key: str = "doc_i
     )
 
 
+def bm25_top(queries: DataFrame, index: DataFrame, idf: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, rank, score): the k best documents of each query, exactly, without scoring all that share a frequent term.
+
+    The documents of a query's rarest terms are scored in full; the k-th of them bounds what
+    is needed. Terms whose largest parts together stay below that bound can't bring a
+    document in by themselves, so only the others look for candidates, and of these only
+    those that can still reach the bound are scored in full.
+    """
+    peak = index.groupBy("term").agg(F.max("part").alias("peak"), F.count("*").alias("df"))
+    q = queries.join(peak, "term").join(idf, "term").select("query_id", "term", "n", (F.col("n") * F.col("peak")).alias("peak"), "df", "idf")
+    q = cut(q)
+    index = cut(index)
+
+    def full(pairs: DataFrame) -> DataFrame:
+        parts = pairs.join(q.select("query_id", "term", "n"), "query_id").join(index, ["term", key])
+        return parts.groupBy("query_id", key).agg(F.sum(F.col("n") * F.col("part")).alias("s"))
+
+    before = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    rare = q.withColumn("have", F.coalesce(F.sum("df").over(before), F.lit(0))).filter(F.col("have") < k).select("query_id", "term")
+    first = full(rare.join(index.select("term", key), "term").select("query_id", key).distinct())
+    best = first.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s")))).filter(F.col("rn") <= k)
+    bound = best.groupBy("query_id").agg(F.count("*").alias("m"), F.min("s").alias("least")).select("query_id", F.when(F.col("m") == k, F.col("least") - 1e-8).otherwise(0.0).alias("bound"))
+    upto = F.sum("peak").over(W.partitionBy("query_id").orderBy("peak", "term").rowsBetween(W.unboundedPreceding, 0))
+    told = q.join(bound, "query_id").withColumn("upto", upto).withColumn("alone", F.col("upto") >= F.col("bound"))
+    rest = told.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("alone"), F.col("peak"))), F.lit(0.0)).alias("rest"), F.first("bound").alias("bound"))
+    met = told.filter("alone").select("query_id", "term", "n").join(index, "term").groupBy("query_id", key).agg(F.sum(F.col("n") * F.col("part")).alias("s"))
+    able = met.join(rest, "query_id").filter(F.col("s") + F.col("rest") >= F.col("bound")).select("query_id", key)
+    constant = q.groupBy("query_id").agg(F.sum(F.col("n") * F.col("idf") * DELTA).alias("constant"))
+    return top_k(full(able).join(constant, "query_id").select("query_id", key, (F.col("s") + F.col("constant")).alias("score")), k, key)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, n) of queries with a text."""
     return postings(queries, "query_id", TOKEN1, ()).withColumnRenamed("tf", "n")

@@ -10,6 +10,7 @@ from lectern.plans import feature_queries as fq
 from lectern.plans import graph_queries as gq
 from lectern.plans import scoring_queries as sq
 from lectern.plans.scoring_queries import counts_of, docs_of, paras_of
+from lectern.session import cut
 from lectern.sources.tables import table
 
 
@@ -58,10 +59,11 @@ def benchmark_queries(spark, folder):
 def _ranked(spark, folder):
     c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").distinct()
     gold = c.select(F.col("doc_id").alias("query_id"), "chunk_id").distinct()
-    q = _queries(spark, folder).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    # used several times, and costly to make
+    q = cut(_queries(spark, folder).join(gold.select("query_id").distinct(), "query_id", "left_semi"))
     index, idf = retrieval.bm25_index(c.select("chunk_id", "text"), "chunk_id")
-    top = retrieval.top_k(retrieval.bm25(retrieval.query_terms(q), index, idf, "chunk_id"), 10, "chunk_id")
-    return retrieval.padded(top, c, q, 10, "chunk_id"), gold.join(q.select("query_id"), "query_id", "left_semi")
+    top = retrieval.bm25_top(retrieval.query_terms(q), index, idf, 10, "chunk_id")
+    return cut(retrieval.padded(cut(top.select("query_id", "chunk_id", "rank")), c, q, 10, "chunk_id")), gold.join(q.select("query_id"), "query_id", "left_semi")
 
 
 def retrieval_benchmark(spark, folder):
@@ -93,7 +95,7 @@ def escalation(spark, folder):
 def _search(spark, folder, files):
     c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").distinct().join(files, "doc_id", "left_semi")
     index, idf = retrieval.bm25_index(c.select("chunk_id", "text"), "chunk_id")
-    got = retrieval.top_k(retrieval.bm25(retrieval.query_terms(fq._items(spark, folder)), index, idf, "chunk_id"), 5, "chunk_id")
+    got = retrieval.bm25_top(retrieval.query_terms(fq._items(spark, folder)), index, idf, 5, "chunk_id")
     return got.select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
