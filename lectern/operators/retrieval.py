@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.functions.text import TOKEN1
+from lectern.functions.text import TOKEN1, tokens
+from lectern.operators import blocks
 from lectern.operators.features import postings
 from lectern.session import cut
 
@@ -74,6 +76,72 @@ def bm25_top(queries: DataFrame, index: DataFrame, idf: DataFrame, k: int, key:
     return top_k(full(able).join(constant, "query_id").select("query_id", key, (F.col("s") + F.col("constant")).alias("score")), k, key)
 
 
+def search(queries: DataFrame, texts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, rank, score): bm25_index and bm25_top of the distinct texts without their joins. queries: query_id, term, n.
+
+    Documents are counted once for the terms of all queries and held in parts; a part gives
+    the k best of its documents for each query, so no pairs are shuffled but these.
+    """
+    spark = texts.sparkSession
+    asked = cut(queries.select("query_id", F.xxhash64("term").alias("t"), F.col("n").cast("double").alias("n")))
+    wanted = np.sort(asked.select("t").distinct().toArrow()["t"].to_numpy())
+    hashed = blocks.by_key(texts.select(key, "text"), key).distinct().select(key, F.transform(tokens(F.col("text"), TOKEN1), lambda t: F.xxhash64(t)).alias("t"))
+    packed = blocks.counted(hashed, key, wanted)
+    n, avgdl = packed.agg(F.count("*"), F.avg("size")).first()
+    terms, df = blocks.frequencies(packed)
+    idf = np.log(((n or 0) - df + 0.5) / (df + 0.5) + 1)
+    held, kind, qkind = blocks.parts(packed), texts.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    known = spark.sparkContext.broadcast((terms, idf, avgdl))
+    found = spark.createDataFrame([], f"query_id {qkind}, {key} {kind}, score double")
+    for ids, at, t, more in blocks.blocks(asked):
+        i = np.minimum(np.searchsorted(terms, t), max(len(terms) - 1, 0))
+        ok = terms[i] == t if len(terms) else np.zeros(len(t), dtype=bool)
+        own = np.where(ok, more["n"] * (idf[i] if len(terms) else 0.0) * DELTA, 0.0)
+        sent = spark.sparkContext.broadcast((ids, at, t, more["n"], np.add.reduceat(own, at[:-1])))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            terms, idf, avgdl = known.value
+            ids, at, t, times, constant = sent.value
+
+            def share(t: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+                return idf[np.searchsorted(terms, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+            part = blocks.Part(batches, key, share)
+            if not part.n:
+                return
+            begin, end = part.spans(t)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for q in range(len(ids)):
+                spans = [(begin[j], end[j], times[j]) for j in range(at[q], at[q + 1]) if end[j] > begin[j]]
+                if not spans:
+                    continue
+                rows = np.concatenate([part.rows[a:b] for a, b, _ in spans])
+                s = np.bincount(rows, np.concatenate([part.values[a:b] * x for a, b, x in spans]), part.n)
+                # the k-th of the shortest list that has so many bounds what is needed
+                enough = [(b - a, a) for a, b, _ in spans if b - a >= k]
+                if enough:
+                    size, a = min(enough)
+                    least = np.partition(s[part.rows[a : a + size]], size - k)[size - k]
+                    cand = np.flatnonzero(s >= least - 1e-8)
+                else:
+                    cand = np.unique(rows)
+                x = s[cand] + constant[q]
+                best = np.lexsort((cand, -np.round(x, 9)))[:k]
+                out.append((np.full(len(best), q), cand[best], x[best]))
+                if len(out) >= 10_000:
+                    yield given(ids, part, out)
+                    out = []
+            if out:
+                yield given(ids, part, out)
+
+        def given(ids: pa.Array, part: blocks.Part, out: list) -> pa.RecordBatch:
+            q, d, x = (np.concatenate(c) for c in zip(*out))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.keys.take(pa.array(d)), pa.array(x)], names=["query_id", key, "score"])
+
+        found = found.unionByName(held.mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double"))
+    return top_k(found, k, key)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, n) of queries with a text."""
     return postings(queries, "query_id", TOKEN1, ()).withColumnRenamed("tf", "n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import STOP_WORDS, TOKEN1, TOKEN2
 from lectern.operators import chunk, criteria, features, parsed, retrieval
 from lectern.plans.scoring_queries import CRIT, DOCS, PARAS, counts_of, docs_of, paras_of, quoted, split_words
+from lectern.session import cut
 from lectern.sources.tables import table
 
 
@@ -20,6 +21,15 @@ def _corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     return paras, post, vocab, features.weigh(post, vocab)
 
 
+def _by_file(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and weights as _corpus gives them. Paragraphs are put by file once, so that postings and weights need no shuffle of their own."""
+    paras = parsed.paragraphs(table(spark, folder, "paragraphs").repartition(F.col("doc_id")))
+    post = features.postings(paras)
+    vocab = cut(features.vocabulary(post, docs_of(spark, folder).count()))
+    # sent around only if it is small enough
+    return paras, features.weigh(post, F.broadcast(vocab) if vocab.count() <= 1_000_000 else vocab)
+
+
 def tfidf_vocabulary(spark, folder):
     return _corpus(spark, folder)[2].select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -48,7 +48,7 @@ def document_metrics(spark, folder):
 
 
 def _queries(spark, folder):
-    paras, _, _, weights = fq._corpus(spark, folder)
+    paras, weights = fq._by_file(spark, folder)
     return retrieval.benchmark_queries(docs_of(spark, folder), paras, weights)
 
 
@@ -57,12 +57,11 @@ def benchmark_queries(spark, folder):
 
 
 def _ranked(spark, folder):
-    c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").distinct()
+    c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL")
     gold = c.select(F.col("doc_id").alias("query_id"), "chunk_id").distinct()
     # used several times, and costly to make
     q = cut(_queries(spark, folder).join(gold.select("query_id").distinct(), "query_id", "left_semi"))
-    index, idf = retrieval.bm25_index(c.select("chunk_id", "text"), "chunk_id")
-    top = retrieval.bm25_top(retrieval.query_terms(q), index, idf, 10, "chunk_id")
+    top = retrieval.search(retrieval.query_terms(q), c, 10, "chunk_id")
     return cut(retrieval.padded(cut(top.select("query_id", "chunk_id", "rank")), c, q, 10, "chunk_id")), gold.join(q.select("query_id"), "query_id", "left_semi")
 
 
