@@ -92,9 +92,8 @@ def escalation(spark, folder):
 
 
 def _search(spark, folder, files):
-    c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").distinct().join(files, "doc_id", "left_semi")
-    index, idf = retrieval.bm25_index(c.select("chunk_id", "text"), "chunk_id")
-    got = retrieval.bm25_top(retrieval.query_terms(fq._items(spark, folder)), index, idf, 5, "chunk_id")
+    c = table(spark, folder, "chunks", "chunk_id", "doc_id", "text").filter("text IS NOT NULL").join(files, "doc_id", "left_semi")
+    got = retrieval.search(retrieval.query_terms(fq._items(spark, folder)), c, 5, "chunk_id")
     return got.select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
