@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import retrieval
+from lectern.operators import features, retrieval
 
 
 def shuffled(spark, run):
@@ -45,3 +45,19 @@ def test_search_shuffles_no_pairs(spark):
     texts, queries = frame(spark, 600), spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("all w"), F.col("id") % 40).alias("text"))
     _, n = shuffled(spark, lambda: retrieval.search(retrieval.query_terms(queries), texts, 3, "id").collect())
     assert n < 200 * 600 / 10
+
+
+@pytest.mark.parametrize("block", [60, 2_000_000])
+def test_similar_documents_shuffle_no_pairs(spark, monkeypatch, block):
+    """All 120 documents share their rarest term with 29 others."""
+    monkeypatch.setattr(features.blocks, "BLOCK", block)
+    rnd = random.Random(1)
+    rows = [(d, t, rnd.random() + 0.01) for d in range(120) for t in {f"g{d % 4}", *rnd.choices([f"w{i}" for i in range(12)], k=6)}]
+    size = {d: sum(w * w for e, _, w in rows if e == d) ** 0.5 for d in range(120)}
+    vec = {d: {t: w / size[d] for e, t, w in rows if e == d} for d in range(120)}
+    want = {(a, b): sum(x * vec[b].get(t, 0) for t, x in vec[a].items()) for a in vec for b in vec if a < b}
+    want = {k: round(x, 8) for k, x in want.items() if x >= 0.6}
+    w = spark.createDataFrame([(d, t, x / size[d]) for d, t, x in rows], "doc_id long, term string, weight double").coalesce(2)
+    got, n = shuffled(spark, lambda: {(r.doc_a, r.doc_b): round(r.cosine, 8) for r in features.similar_documents(w, 0.6).collect()})
+    assert got == want and len(want) > 100 and n < 1500
+    assert not features.similar_documents(w.limit(0)).collect()
