@@ -1,11 +1,12 @@
 """Searches in parts: the same rows as by joins, and no pairs shuffled."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import features, retrieval
+from lectern.operators import features, graph, resolve, retrieval
 
 
 def shuffled(spark, run):
@@ -61,3 +62,28 @@ def test_similar_documents_shuffle_no_pairs(spark, monkeypatch, block):
     got, n = shuffled(spark, lambda: {(r.doc_a, r.doc_b): round(r.cosine, 8) for r in features.similar_documents(w, 0.6).collect()})
     assert got == want and len(want) > 100 and n < 1500
     assert not features.similar_documents(w.limit(0)).collect()
+
+
+def test_gram_counts(spark):
+    """Counted in arrays as by expressions, also with signs beyond 16 bits."""
+    texts = ["a", "", "  Ab cde  ab", "x\U0001f600y\U0001f600z q", "\t", "Number Lines"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", resolve.padded_words(F.col("text")).alias("p"), resolve.char_ngrams(F.col("text")).alias("g"))
+    got = sorted(d.collect(), key=lambda r: r.i)
+    rows, codes, n = resolve.gram_counts([r.p for r in got])
+    for r in got:
+        assert sorted(n[rows == r.i]) == sorted(Counter(r.g).values())
+    assert len(set(codes)) == len({g for r in got for g in r.g})
+
+
+def test_resolve_shuffles_no_ngrams(spark):
+    ents = spark.createDataFrame([(f"k{i}", f"common register {i}", "the same words for all") for i in range(300)], "key string, name string, description string").coalesce(2)
+    names = spark.createDataFrame([(f"common registers {i}",) for i in range(40)], "name string")
+    got, n = shuffled(spark, lambda: resolve.resolve(names, ents, 0.3).collect())
+    assert len(got) == 40 and n < 3000
+
+
+def test_related_resolves_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "a")], "src string, dst string")
+    got = graph.related(edges, spark.createDataFrame([("a",), ("d",)], "key string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "a", 1), ("a", "b", 1), ("a", "c", 2), ("d", "c", 1), ("d", "b", 2), ("d", "d", 2)} - {("d", "d", 2), ("a", "a", 1)}
+    assert "src" not in got._jdf.queryExecution().optimizedPlan().toString()
