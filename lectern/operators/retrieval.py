@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,10 +152,6 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: So many parts are made of the documents that a query is held against.
-PARTS = 16
-
-
 def combinations(m: int, most: int = 20) -> list[tuple[int, int, int]]:
     """Of m terms the choices of three, in order; of more than `most` evenly many of them."""
     all_ = [(a, b, c) for a in range(1, m + 1) for b in range(a + 1, m + 1) for c in range(b + 1, m + 1)]
@@ -166,77 +161,95 @@ def combinations(m: int, most: int = 20) -> list[tuple[int, int, int]]:
 def self_retrieval(weights: DataFrame, index: DataFrame, n_terms: int = 8, k: int = 5, most: int = 20) -> DataFrame:
     """(doc_id, self_retrieval): share of queries of three of its top terms that find the document among the first k.
 
-    Rank by counting: a query is a hit if fewer than k documents beat it. The documents that
-    share a term with one are spread over PARTS tasks, each with the scores of the document
-    itself; there all its queries are scored at once as a product of matrices, and only
-    counts are shuffled.
+    Rank by counting: a query is a hit if fewer than k documents beat it. Parts of the
+    documents are held in arrays; there all queries of a document are scored at once as a
+    product of matrices, and only counts up to k are shuffled.
     """
+    spark = weights.sparkSession
     w = W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
-    top = weights.filter("weight > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r"))
+    top = cut(weights.filter("weight > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r")))
     have = top.groupBy("q").agg(F.count("*").cast("int").alias("m"))
-    asked = have.filter("m >= 3")
-    met = top.join(asked, "q").join(index.withColumnRenamed("doc_id", "d"), "term").select("q", "m", "d", "r", "part")
-    own = met.filter("q = d").select("q", "m", F.lit(None).cast(index.schema["doc_id"].dataType).alias("d"), "r", "part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("s"))
-    spread = met.filter("q <> d").withColumn("s", F.pmod(F.xxhash64("d"), F.lit(PARTS)).cast("int")).unionByName(own)
-    rows = spread.repartition("q", "s").sortWithinPartitions("q", "s", F.col("d").asc_nulls_first()).select("q", "s", "m", "d", "r", "part")
-    kind = weights.schema["doc_id"].dataType.simpleString()
+    index = index.join(top.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "part")
+    packed = blocks.lists(index, "doc_id", "part")
+    own = top.join(have.filter("m >= 3"), "q").select(F.col("q").alias("query_id"), F.xxhash64("term").alias("t"), "r", "m")
+    own = cut(own)
+    held, kind = blocks.parts(packed), weights.schema["doc_id"].dataType.simpleString()
     chosen = {m: combinations(m, most) for m in range(3, n_terms + 1)}
+    width = max((len(c) for c in chosen.values()), default=0)
+    uses = {m: np.zeros((n_terms, len(c))) for m, c in chosen.items()}
+    for m, c in chosen.items():
+        for i, rs in enumerate(c):
+            uses[m][[r - 1 for r in rs], i] = 1
+    out = f"q {kind}, " + ", ".join(f"c{i} int" for i in range(width))
+
+    def ordered(keys: pa.Array) -> np.ndarray:
+        """Keys as numpy can compare them, in Spark's order."""
+        return np.array([k.encode() for k in keys.to_pylist()], dtype=object) if pa.types.is_string(keys.type) or pa.types.is_large_string(keys.type) else keys.to_numpy(zero_copy_only=False)
+
+    def by_own(packed: DataFrame, ids: pa.Array, at: np.ndarray, t: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The parts of each document for its own terms."""
+        sent = spark.sparkContext.broadcast((ids, at, t))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, at, t = sent.value
+            place = {k: i for i, k in enumerate(ids.to_pylist())}
+            for b in batches:
+                rows, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+                for k, n, z in zip(b["doc_id"].to_pylist(), b["n"].to_pylist(), b["z"].to_pylist()):
+                    if (i := place.get(k)) is not None:
+                        x, v = blocks.unpack([n], [z])
+                        span = np.arange(at[i], at[i + 1])
+                        _, mine, theirs = np.intersect1d(t[span], x, return_indices=True)
+                        rows.append(span[mine])
+                        values.append(v[theirs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(values))], names=["i", "v"])
+
+        got = packed.mapInArrow(run, "i long, v double").toArrow()
+        sent.destroy()
+        mine = np.zeros((len(ids), n_terms))
+        i = got["i"].to_numpy()
+        mine[np.searchsorted(at, i, side="right") - 1, r[i] - 1] = got["v"].to_numpy()
+        return mine
+
+    beats = spark.createDataFrame([], out)
+    for ids, at, t, more in blocks.blocks(own, "r m"):
+        mine = by_own(packed, ids, at, t, more["r"])
+        sent = spark.sparkContext.broadcast((ids, at, t, more["r"], more["m"], mine))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uses = {m: np.zeros((n_terms, len(c))) for m, c in chosen.items()}
-        for m, c in chosen.items():
-            for i, rs in enumerate(c):
-                uses[m][[r - 1 for r in rs], i] = 1
-        rest, mine = None, (None, np.zeros(n_terms))
-        for d in (*batches, None):
-            last = d is None
-            d = rest if last else d if rest is None else pd.concat([rest, d], ignore_index=True)
-            if d is None or not len(d):
-                continue
-            if not last:
-                # the last pair may go on in the next batch
-                q, s, x = d["q"].to_numpy(), d["s"].to_numpy(), d["d"].to_numpy()
-                null = pd.isna(x)
-                same = (q == q[-1]) & (s == s[-1]) & (null if null[-1] else x == x[-1])
-                cutoff = int(np.argmax(same))
-                rest, d = d.iloc[cutoff:], d.iloc[:cutoff]
-                if not cutoff:
-                    continue
-            q, s, x, null = d["q"].to_numpy(), d["s"].to_numpy(), d["d"].to_numpy(), d["d"].isna().to_numpy()
-            new_q = np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])]
-            pair = np.cumsum(np.r_[True, new_q[1:] | (null[1:] != null[:-1]) | (~null[1:] & (x[1:] != x[:-1]))]) - 1
-            n = int(pair[-1]) + 1
-            part = np.zeros((n, n_terms))
-            part[pair, d["r"].to_numpy() - 1] = d["part"].to_numpy()
-            first = np.flatnonzero(np.r_[True, np.diff(pair) > 0])
-            q, s, x, null, m = q[first], s[first], x[first], null[first], d["m"].to_numpy()[first]
-            group = np.cumsum(np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])]) - 1
-            lead = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-            selves = np.where(null[lead][:, None], part[lead], 0.0)
-            if not null[0] and mine[0] == (q[0], s[0]):
-                selves[0] = mine[1]
-            mine = ((q[lead[-1]], s[lead[-1]]), selves[-1])
-            out = []
-            for size in np.unique(m):
-                at = np.flatnonzero((m == size) & ~null)
-                if not len(at):
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, at, t, r, m, mine = sent.value
+            part = blocks.Part(batches, "doc_id")
+            if not part.n:
+                return
+            begin, end = part.spans(t)
+            keys, asking = ordered(part.keys), ordered(ids)
+            before = np.searchsorted(keys, asking)
+            known, who, counts = np.minimum(before, part.n - 1), [], []
+            itself = np.where(keys[known] == asking, before, -1)
+            for q in range(len(ids)):
+                spans = [(begin[j], end[j], r[j] - 1) for j in range(at[q], at[q + 1]) if end[j] > begin[j]]
+                if not spans:
                     continue
-                theirs, its = np.round(part[at] @ uses[size], 9), np.round(selves[group[at]] @ uses[size], 9)
-                beats = (theirs > its) | (theirs == its) & (x[at] < q[at])[:, None]
-                edge = np.flatnonzero(np.r_[True, np.diff(group[at]) > 0])
-                sums = np.add.reduceat(beats.astype(np.int64), edge, axis=0)
-                g, i = np.nonzero(sums)
-                out.append(pd.DataFrame({"q": q[at][edge][g], "i": i.astype(np.int32), "n": sums[g, i]}))
-            if out:
-                yield pd.concat(out)
-
-    beats = (
-        rows.mapInPandas(count, f"q {kind}, i int, n long").groupBy("q", "i").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= k).groupBy("q").agg(F.count("*").alias("missed"))
-    )
+                rows, inv = np.unique(np.concatenate([part.rows[a:b] for a, b, _ in spans]), return_inverse=True)
+                score = np.zeros((len(rows), n_terms))
+                score[inv, np.repeat([c for *_, c in spans], [b - a for a, b, _ in spans])] = np.concatenate([part.values[a:b] for a, b, _ in spans])
+                use = uses[int(m[at[q]])]
+                theirs, its = np.round(score @ use, 9), np.round(mine[q] @ use, 9)
+                n = (((theirs > its) | (theirs == its) & (rows < before[q])[:, None]) & (rows != itself[q])[:, None]).sum(axis=0)
+                if n.any():
+                    who.append(q)
+                    counts.append(np.pad(np.minimum(n, k), (0, width - len(n))))
+            if who:
+                c = np.array(counts, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), *[pa.array(c[:, i]) for i in range(width)]], names=["q", *[f"c{i}" for i in range(width)]])
+
+        beats = beats.unionByName(cut(held.mapInArrow(run, out)))
+        sent.destroy()
+    total = beats.groupBy("q").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(width)])
+    missed = total.select("q", sum(((F.col(f"c{i}") >= k).cast("int") for i in range(width)), F.lit(0)).alias("missed"))
     sizes = F.create_map(*[x for m, c in chosen.items() for x in (F.lit(m), F.lit(len(c)))])
     return (
-        have.withColumn("asked", sizes[F.col("m")]).join(beats, "q", "left")
+        have.withColumn("asked", sizes[F.col("m")]).join(missed, "q", "left")
         .select(F.col("q").alias("doc_id"), F.when(F.col("asked") > 0, 1 - F.coalesce("missed", F.lit(0)) / F.col("asked")).otherwise(0.0).alias("self_retrieval"))
     )
 

@@ -81,14 +81,14 @@ def bm25_top5(spark, folder):
 
 
 def self_retrieval(spark, folder):
-    paras, _, _, weights = _corpus(spark, folder)
+    paras, weights = _by_file(spark, folder)
     index, _ = retrieval.bm25_index(paras)
     return retrieval.self_retrieval(weights, index).withColumn("self_retrieval", F.round("self_retrieval", 6))
 
 
 def metrics_scorecards(spark, folder):
     """Scorecards that know the entropy and the self-retrieval of each file."""
-    paras, _, _, weights = _corpus(spark, folder)
+    paras, weights = _by_file(spark, folder)
     index, _ = retrieval.bm25_index(paras)
     crit = criteria.criteria(counts_of(spark, folder), features.entropy(weights), retrieval.self_retrieval(weights, index))
     return criteria.scorecards(crit).select("doc_id", F.round("overall_score", 6).alias("overall_score"), "gate_decision")

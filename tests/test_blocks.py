@@ -87,3 +87,24 @@ def test_related_resolves_edges_once(spark):
     got = graph.related(edges, spark.createDataFrame([("a",), ("d",)], "key string"))
     assert {tuple(r) for r in got.collect()} == {("a", "a", 1), ("a", "b", 1), ("a", "c", 2), ("d", "c", 1), ("d", "b", 2), ("d", "d", 2)} - {("d", "d", 2), ("a", "a", 1)}
     assert "src" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [40, 2_000_000])
+def test_self_retrieval_shuffles_no_pairs(spark, monkeypatch, block):
+    """All 90 documents share a term; keys are words, and some documents are alike."""
+    monkeypatch.setattr(retrieval.blocks, "BLOCK", block)
+    rnd = random.Random(5)
+    docs = {f"d{i}": {t: rnd.random() for t in {"all", *rnd.choices([f"w{j}" for j in range(9)], k=rnd.randrange(1, 7))}} for i in range(89)}
+    docs["d89"] = dict(docs["d3"])
+    rows = [(d, t, x) for d, v in docs.items() for t, x in v.items()]
+    w = spark.createDataFrame(rows, "doc_id string, term string, weight double").coalesce(2)
+    index = w.withColumnRenamed("weight", "part")
+    want = {}
+    for d, v in docs.items():
+        top = sorted(v, key=lambda t: (-round(v[t], 9), t))[:8]
+        sets = [[top[i - 1] for i in c] for c in retrieval.combinations(len(top))] if len(top) >= 3 else []
+        score = lambda e, s: round(sum(docs[e].get(t, 0) for t in s), 9)
+        hits = [sum(score(e, s) > score(d, s) or score(e, s) == score(d, s) and e < d for e in docs if e != d and set(s) & set(docs[e])) < 5 for s in sets]
+        want[d] = round(sum(hits) / len(hits), 9) if hits else 0.0
+    got, n = shuffled(spark, lambda: {r.doc_id: round(r.self_retrieval, 9) for r in retrieval.self_retrieval(w, index).collect()})
+    assert got == want and len(set(want.values())) > 3 and n < 5000
