@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from lectern.functions.text import TOKEN1, tokens
 from lectern.operators import blocks
-from lectern.operators.features import postings
+from lectern.operators.features import entropy_of, postings
 from lectern.session import cut
 
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -158,22 +158,53 @@ def combinations(m: int, most: int = 20) -> list[tuple[int, int, int]]:
     return all_ if len(all_) <= most else all_[:: len(all_) // most][:most]
 
 
+def own_terms(weights: DataFrame, n_terms: int = 8) -> DataFrame:
+    """(q, term, r, entropy): the heaviest terms of each document, and the entropy of all its weights. Weights are read once."""
+    whole = W.partitionBy("doc_id")
+    w = whole.orderBy(F.desc(F.round("weight", 9)), "term")
+    every = weights.filter("weight > 0").withColumns({"entropy": entropy_of("weight", whole), "r": F.row_number().over(w)})
+    return cut(every.filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r"), "entropy"))
+
+
 def self_retrieval(weights: DataFrame, index: DataFrame, n_terms: int = 8, k: int = 5, most: int = 20) -> DataFrame:
-    """(doc_id, self_retrieval): share of queries of three of its top terms that find the document among the first k.
+    """(doc_id, self_retrieval): share of queries of three of its top terms that find the document among the first k."""
+    w = W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
+    top = cut(weights.filter("weight > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r")))
+    index = index.join(top.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "part")
+    return _self_retrieval(top, blocks.lists(index, "doc_id", "part"), None, n_terms, k, most)
 
-    Rank by counting: a query is a hit if fewer than k documents beat it. Parts of the
+
+def self_retrieval_of(top: DataFrame, texts: DataFrame, n_terms: int = 8, k: int = 5, most: int = 20) -> DataFrame:
+    """self_retrieval for own_terms and the index of texts, whose postings are counted in arrays and not shuffled.
+
+    texts: doc_id, text; the rows of a document lie in one partition.
+    """
+    wanted = np.sort(top.select(F.xxhash64("term").alias("t")).distinct().toArrow()["t"].to_numpy())
+    packed = blocks.counted(texts.select("doc_id", F.transform(tokens(F.col("text"), TOKEN1), lambda t: F.xxhash64(t)).alias("t")), "doc_id", wanted)
+    n, avgdl = packed.agg(F.count("*"), F.avg("size")).first()
+    terms, df = blocks.frequencies(packed)
+    return _self_retrieval(top, packed, (terms, np.log(((n or 0) - df + 0.5) / (df + 0.5) + 1), avgdl), n_terms, k, most)
+
+
+def _self_retrieval(top: DataFrame, packed: DataFrame, counts: tuple[np.ndarray, np.ndarray, float] | None, n_terms: int, k: int, most: int) -> DataFrame:
+    """Rank by counting: a query is a hit if fewer than k documents beat it. Parts of the
     documents are held in arrays; there all queries of a document are scored at once as a
-    product of matrices, and only counts up to k are shuffled.
+    product of matrices, and only counts up to k are shuffled. packed has the parts of the
+    score, or with counts (terms, their idf, mean length) how often the terms stand there.
     """
-    spark = weights.sparkSession
-    w = W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
-    top = cut(weights.filter("weight > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_terms).select(F.col("doc_id").alias("q"), "term", F.col("r").cast("int").alias("r")))
+    spark = top.sparkSession
     have = top.groupBy("q").agg(F.count("*").cast("int").alias("m"))
-    index = index.join(top.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "part")
-    packed = blocks.lists(index, "doc_id", "part")
+    known = spark.sparkContext.broadcast(counts)
+
+    def share(t: np.ndarray, v: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        if known.value is None:
+            return v
+        terms, idf, avgdl = known.value
+        return idf[np.searchsorted(terms, t)] * v * (K1 + 1) / (v + K1 * (1 - B + B * dl / avgdl))
+
     own = top.join(have.filter("m >= 3"), "q").select(F.col("q").alias("query_id"), F.xxhash64("term").alias("t"), "r", "m")
     own = cut(own)
-    held, kind = blocks.parts(packed), weights.schema["doc_id"].dataType.simpleString()
+    held, kind = blocks.parts(packed), top.schema["q"].dataType.simpleString()
     chosen = {m: combinations(m, most) for m in range(3, n_terms + 1)}
     width = max((len(c) for c in chosen.values()), default=0)
     uses = {m: np.zeros((n_terms, len(c))) for m, c in chosen.items()}
@@ -195,9 +226,10 @@ def self_retrieval(weights: DataFrame, index: DataFrame, n_terms: int = 8, k: in
             place = {k: i for i, k in enumerate(ids.to_pylist())}
             for b in batches:
                 rows, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-                for k, n, z in zip(b["doc_id"].to_pylist(), b["n"].to_pylist(), b["z"].to_pylist()):
+                for k, size, n, z in zip(b["doc_id"].to_pylist(), b["size"].to_pylist(), b["n"].to_pylist(), b["z"].to_pylist()):
                     if (i := place.get(k)) is not None:
                         x, v = blocks.unpack([n], [z])
+                        v = share(x, v, size)
                         span = np.arange(at[i], at[i + 1])
                         _, mine, theirs = np.intersect1d(t[span], x, return_indices=True)
                         rows.append(span[mine])
@@ -218,7 +250,7 @@ def self_retrieval(weights: DataFrame, index: DataFrame, n_terms: int = 8, k: in
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, at, t, r, m, mine = sent.value
-            part = blocks.Part(batches, "doc_id")
+            part = blocks.Part(batches, "doc_id", share)
             if not part.n:
                 return
             begin, end = part.spans(t)

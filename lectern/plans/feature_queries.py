@@ -89,8 +89,10 @@ def self_retrieval(spark, folder):
 def metrics_scorecards(spark, folder):
     """Scorecards that know the entropy and the self-retrieval of each file."""
     paras, weights = _by_file(spark, folder)
-    index, _ = retrieval.bm25_index(paras)
-    crit = criteria.criteria(counts_of(spark, folder), features.entropy(weights), retrieval.self_retrieval(weights, index))
+    top = retrieval.own_terms(weights)
+    found = retrieval.self_retrieval_of(top, paras)
+    counts = criteria.document_counts(docs_of(spark, folder), paras)
+    crit = criteria.criteria(counts, top.filter("r = 1").select(F.col("q").alias("doc_id"), "entropy"), found)
     return criteria.scorecards(crit).select("doc_id", F.round("overall_score", 6).alias("overall_score"), "gate_decision")
 
 

@@ -108,3 +108,22 @@ def test_self_retrieval_shuffles_no_pairs(spark, monkeypatch, block):
         want[d] = round(sum(hits) / len(hits), 9) if hits else 0.0
     got, n = shuffled(spark, lambda: {r.doc_id: round(r.self_retrieval, 9) for r in retrieval.self_retrieval(w, index).collect()})
     assert got == want and len(set(want.values())) > 3 and n < 5000
+
+
+@pytest.mark.parametrize("block", [40, 2_000_000])
+def test_self_retrieval_of_texts_shuffles_no_postings(spark, monkeypatch, block):
+    """As from the index, with the entropy of all weights; documents of one text stand in several rows."""
+    monkeypatch.setattr(retrieval.blocks, "BLOCK", block)
+    texts = features.blocks.by_key(frame(spark, 150).select(F.col("id").alias("doc_id"), "text").distinct(), "doc_id").cache()
+    post = features.postings(texts)
+    weights = features.weigh(post, features.vocabulary(post, 150)).cache()
+    index, _ = retrieval.bm25_index(texts)
+    want = {r.doc_id: round(r.self_retrieval, 9) for r in retrieval.self_retrieval(weights, index).collect()}
+    top = retrieval.own_terms(weights)
+    got, n = shuffled(spark, lambda: {r.doc_id: round(r.self_retrieval, 9) for r in retrieval.self_retrieval_of(top, texts).collect()})
+    postings = retrieval.postings(texts, "doc_id", retrieval.TOKEN1, ()).count()
+    assert got == want and len(set(got.values())) > 3
+    assert n < postings + top.count()  # by joins: postings by term and again by document
+    ent = {r.doc_id: round(r.entropy, 9) for r in features.entropy(weights).collect()}
+    assert {r.q: round(r.entropy, 9) for r in top.collect()} == ent
+    assert not retrieval.self_retrieval_of(retrieval.own_terms(weights.limit(0)), texts).collect()
