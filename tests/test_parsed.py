@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.functions.text import stem_of, syllables
 from lectern.operators import chunk, clean, criteria, parsed
 from lectern.sources import files, page_lines
@@ -98,3 +99,14 @@ def test_chunk_windows(spark):
     assert [r.text.split()[0] + ".." + r.text.split()[-1] for r in got] == ["before..before", "w0..w219", "w180..w399", "w360..w499"]
     assert [r.heading_path for r in got] == [[], ["H"], ["H"], ["H"]] and got[2].start_paragraph == 2 and got[2].end_paragraph == 3
     assert got[0].chunk_id == "a-good-file-name::000"
+
+
+def test_blank_paragraphs_are_told_by_their_first_sign(spark):
+    """No paragraph is searched for white space from end to end only to see whether it has text."""
+    texts = ["", " ", "\t\n\x1c", "\xa0\u2003\u3000", "\u2028\n", " a", "a \n", "\u200b", "\x00", "\U0001f600", None]
+    raw = spark.createDataFrame([(1, i, 0, "Normal", t) for i, t in enumerate(texts)], "doc_id long, para_index int, heading_level int, style string, text string")
+    p = parsed.paragraphs(raw)
+    assert {r["index"] for r in p.collect()} == {r.para_index for r in raw.filter(text.stripped(F.col("text")) != "").collect()} == {5, 6, 7, 8, 9}
+    odd = spark.createDataFrame([(t,) for t in [*texts, "a b", "a  b", "a\u2003b c", "a\xa0b", "\x7f b", "\xe9 \U0001f600 c", " a b", "a b ", "a\tb"]], "text string")
+    assert not odd.filter(~text.word_count(F.col("text")).eqNullSafe(F.size(text.words(F.col("text"))))).count()
+    assert "regexp_replace" not in p._jdf.queryExecution().optimizedPlan().toString()
