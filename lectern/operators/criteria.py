@@ -7,6 +7,8 @@ and acronyms come from two more of the same kind.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +24,11 @@ DANGLING = (
     r"\bas\s+(?:noted|described|shown|outlined|discussed)\s+(?:above|below|earlier)",
     r"\b(?:the\s+)?(?:steps?|instructions?|procedure)\s+(?:above|below)\b",
 )
+#: For each of them words of which a match has one, in lower case.
+TELLING = (
+    ("mentioned",), ("above", "below", "following", "previous", "preceding"), ("section", "figure", "table", "page", "chapter"), ("refer",),
+    ("noted", "described", "shown", "outlined", "discussed"), ("step", "instruction", "procedure"),
+)
 #: Words of which a vague heading is made.
 VAGUE = "content details info information section material data overview introduction conclusion notes misc miscellaneous other general".split()
 #: Words of headings that are no topic.
@@ -49,8 +56,10 @@ KNOWLEDGE = ("knowledge_completeness", 0.05)
 
 
 def dangling_references(text: Column) -> Column:
-    """Number of references to other places of the document, each pattern by itself."""
-    return sum((F.regexp_count(text, F.lit(f"(?i){p}")) for p in DANGLING), F.lit(0))
+    """Number of references to other places of the document, each pattern by itself. A pattern is tried only where one of its words stands."""
+    low = F.lower(text)
+    some = lambda ws: functools.reduce(lambda a, w: a | low.contains(w), ws, F.lit(False))
+    return sum((F.when(some(ws), F.regexp_count(text, F.lit(f"(?i){p}"))).otherwise(0) for p, ws in zip(DANGLING, TELLING)), F.lit(0))
 
 
 def heading_jumps(paras: DataFrame) -> DataFrame:

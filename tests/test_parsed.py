@@ -110,3 +110,12 @@ def test_blank_paragraphs_are_told_by_their_first_sign(spark):
     odd = spark.createDataFrame([(t,) for t in [*texts, "a b", "a  b", "a\u2003b c", "a\xa0b", "\x7f b", "\xe9 \U0001f600 c", " a b", "a b ", "a\tb"]], "text string")
     assert not odd.filter(~text.word_count(F.col("text")).eqNullSafe(F.size(text.words(F.col("text"))))).count()
     assert "regexp_replace" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_are_tried_only_where_their_words_stand(spark):
+    texts = ["As Mentioned ABOVE, SEE Section 3", "the following step above", "see the steps below", "Referring to the above", "as noted earlier", "instructions\nbelow", "the page", "mentioned", "", "THE PREVIOUS page; the following table", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = sum((F.regexp_count("text", F.lit(f"(?i){p}")) for p in criteria.DANGLING), F.lit(0))
+    got = d.select("text", criteria.dangling_references(F.col("text")).alias("n"), plain.alias("m"))
+    assert all(r.n == (r.m or 0) for r in got.collect()) and sum(r.n for r in got.collect()) >= 8
+    assert "contains(lower(text" in got._jdf.queryExecution().optimizedPlan().toString().lower()
