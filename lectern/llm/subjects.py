@@ -53,15 +53,17 @@ LEAST_USES, USE_SHARE = 3, 0.7
 
 def named_subjects(said: Column, subjects: list[str]) -> Column:
     """Subjects that a wording names: those with most of its words, if any."""
+    own = [(NAMES.get(s, "") + " " + s.replace("_", " ")).split() for s in subjects]
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  # c is worked out once, not wherever f has it
+    count = lambda ws, of: F.size(F.filter(ws, lambda w: w.isin(of)))
     words = F.filter(F.split(F.lower(said), r"[^\p{L}-]+"), lambda w: w != "")
+    hits = once(words, lambda ws: F.array(*(count(ws, o) for o in own)))
 
-    def hit(s: str) -> Column:
-        own = (NAMES.get(s, "") + " " + s.replace("_", " ")).split()
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(own))).alias("n"), F.lit(s).alias("s"))
+    def best(n: Column) -> Column:
+        names = F.array_compact(F.array(*(F.when(n[i] == F.array_max(n), F.lit(s)) for i, s in enumerate(subjects))))
+        return F.when(F.array_max(n) > 0, names).otherwise(F.array().cast("array<string>"))
 
-    hits = F.array(*map(hit, subjects))
-    best = F.array_max(F.transform(hits, lambda h: h.n))
-    return F.when(best > 0, F.transform(F.filter(hits, lambda h: h.n == best), lambda h: h.s)).otherwise(F.array().cast("array<string>"))
+    return once(hits, best)
 
 
 def evidence(analyses: DataFrame, ratings: DataFrame, subjects: list[str]) -> DataFrame:
@@ -101,7 +103,7 @@ class SubjectModel:
 
     def shares(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per paragraph the expected number of words of each subject, and of no subject."""
-        gamma, _ = topics.expectation(flat, lengths, self.beta, self.alpha, 6, words=False)
+        gamma = topics.expectation(flat, lengths, self.beta, self.alpha, 6)
         mass = np.maximum(gamma - self.alpha, 0)
         out = np.stack([mass[:, self.of_topic == s].sum(1) for s in range(len(self.subjects))], 1)
         return out, mass[:, self.of_topic < 0].sum(1)
@@ -116,17 +118,19 @@ def term_subjects(encoded: DataFrame, named: DataFrame, subjects: list[str], siz
     """Vocabulary x subjects: how many paragraphs of files of a subject hold the term."""
     at = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, len(subjects)))
-        for d in batches:
-            for s, own in d.groupby("s")["ids"]:
-                total[:, s] += np.bincount(np.concatenate([np.unique(x) for x in own]).astype(np.int64), minlength=size)
-        term, s = np.nonzero(total)
-        yield pd.DataFrame({"term": term.astype(np.int32), "s": s.astype(np.int32), "n": total[term, s]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(subjects) * size, dtype=np.int64)
+        for batch in batches:
+            flat, lengths = topics.laid_out(batch, size)
+            key = np.sort(np.repeat(np.arange(len(lengths)), lengths) * size + flat)
+            row, term = np.divmod(key[np.diff(key, prepend=-1) > 0], max(size, 1))
+            total += np.bincount(batch.column("s").to_numpy()[row] * size + term, minlength=len(total))
+        s, term = np.divmod(np.flatnonzero(total), max(size, 1))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(term.astype(np.int32)), "s": pa.array(s.astype(np.int32)), "n": pa.array(total[total > 0].astype(np.float64))})
 
     got = (
         encoded.join(named.withColumn("s", at[F.col("subject")]), "doc_id").select("s", "ids")
-        .mapInPandas(count, "term int, s int, n double").groupBy("term", "s").agg(F.sum("n").alias("n")).toPandas()
+        .mapInArrow(count, "term int, s int, n double").groupBy("term", "s").agg(F.sum("n").alias("n")).toPandas()
     )
     out = np.zeros((size, len(subjects)))
     out[got["term"], got["s"]] = got["n"]
@@ -174,14 +178,11 @@ def file_subjects(encoded: DataFrame, model: SubjectModel, named: DataFrame | No
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, lengths = topics.laid_out(batch)
-            for a, b, values in topics.parts(flat, lengths):
-                x, _ = model.shares(values, lengths[a:b])
-                total = x.sum(1).astype(np.float64)
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [*(own.column(c) for c in kept), pa.array(x.argmax(1).astype(np.int32)), pa.array(x.max(1).astype(np.float64) / np.maximum(total, 1e-9)), pa.array(total)], names=[*kept, "s", "share", "words"],
-                )
+            x, _ = model.shares(*topics.laid_out(batch, model.lam.shape[1]))
+            total = x.sum(1).astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(x.argmax(1).astype(np.int32)), pa.array(x.max(1).astype(np.float64) / np.maximum(total, 1e-9)), pa.array(total)], names=[*kept, "s", "share", "words"],
+            )
 
     kept = ["doc_id", "para_index", "h", "n_chars", "junk"]
     paras = (

@@ -7,6 +7,7 @@ all tokens and n-grams of a block of texts are hashed without a loop over them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,12 +32,27 @@ def blocks(texts: Sequence[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def _powers(b: int, n: int) -> np.ndarray:
+def _all_powers(b: int, n: int) -> np.ndarray:
     p = np.full(n, b, dtype=np.uint64)
     p[:1] = 1
     return np.multiply.accumulate(p)
 
 
+#: So many powers are kept, enough for a block of texts.
+KEPT = 1 << 19
+
+
+@functools.cache
+def _kept_powers(b: int) -> np.ndarray:
+    p = _all_powers(b, KEPT)
+    p.flags.writeable = False
+    return p
+
+
+def _powers(b: int, n: int) -> np.ndarray:
+    return _kept_powers(b)[:n] if n <= KEPT else _all_powers(b, n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -74,7 +90,11 @@ class Codes:
         self.kind = CLASSES[np.minimum(self.codes, len(CLASSES) - 1)]
         n = len(self.codes)
         self._inverse = _powers(INVERSE, n + 1)
-        self._sums = np.r_[np.uint64(0), np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n))]
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        step = self.codes.astype(np.uint64)
+        step += np.uint64(1)
+        step *= _powers(BASE, n)
+        np.cumsum(step, out=self._sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
